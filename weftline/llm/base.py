@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,12 +79,30 @@ def crc32_of(column: str) -> F.Column:
 
 def chunks(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of at most ``rows`` rows, so that a worker's memory
-    depends on a few hundred documents and not on Arrow's batch size."""
+    depends on that many documents and not on Arrow's batch size."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
 
 
+#: Bytes of text that are encoded together, about.
+TEXT_BYTES = 8 << 20
+
+
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into pieces of about ``size`` bytes of text (or one longer text)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy().astype("int64").cumsum()
+        at = 0
+        while at < b.num_rows:
+            base = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(ends.searchsorted(base + size, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of a column; null reads as the empty text."""
     return [t or "" for t in column.to_pylist()]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, texts_of, written
+from .base import text_chunks, written
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -43,9 +43,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
 
     def run(batches):
         enc, task, seen, row = encoder(tokenizer), uuid.uuid4().hex, np.zeros(capacity + 1, np.int64), 0
-        for b in chunks(batches):
+        for b in text_chunks(batches):
             out = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(texts_of(b.column("text"))), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]

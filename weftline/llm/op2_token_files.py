@@ -1,9 +1,9 @@
 """Token ids in Arrow files of equal-length sequences.
 
-A shard is an Arrow IPC file whose record batches hold two fixed-size lists, ``ids`` (unsigned
-32-bit) and ``mask`` (unsigned 8-bit; 1 marks a real token), each ``SEQUENCE`` long, uncompressed.
-A memory-mapped reader gets any sequence or mask without a copy: the values of a list lie at
-``sequence * SEQUENCE`` in one buffer. Documents follow each other in ascending doc_id order, each
+A shard is an Arrow IPC file whose record batches hold two fixed-size lists, ``ids`` (unsigned,
+16-bit where the vocabulary allows it, else 32-bit) and ``mask`` (bits; 1 marks a real token), each
+``SEQUENCE`` long, uncompressed. A memory-mapped reader gets any sequence or mask without a copy: the
+values of a list lie at ``sequence * SEQUENCE`` in one buffer. Documents follow each other in ascending doc_id order, each
 ending with the end id; only the last sequence of a shard is padded. A second Arrow file beside it
 lists the shard's documents (doc_id, start in the shard, n_tokens).
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, new_folder, texts_of
+from .base import new_folder, text_chunks
 from .tokens import encoder, tokenizer_path
 
 SEQUENCE = 2048
@@ -53,9 +53,10 @@ def _open(uri: str, mode: str):
 class ShardWriter:
     """Writes one shard; holds at most a record batch of sequences in memory."""
 
-    def __init__(self, uri: str, sequence: int = SEQUENCE):
+    def __init__(self, uri: str, sequence: int = SEQUENCE, vocabulary: int = 1 << 32):
         self.uri, self.sequence = uri, sequence
-        kinds = [("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))]
+        self.kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+        kinds = [("ids", pa.list_(pa.from_numpy_dtype(self.kind), sequence)), ("mask", pa.list_(pa.bool_(), sequence))]
         self.schema = pa.schema(kinds, metadata={"sequence": str(sequence)})
         self.sink = _open(f"{uri}.arrow", "w")
         self.out = pa.ipc.new_file(self.sink, self.schema)
@@ -89,8 +90,8 @@ class ShardWriter:
             self._write(np.pad(rest, (0, -len(rest) % self.sequence)), len(rest))
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
-        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
+        values = pa.array(ids.astype(self.kind, copy=False)), pa.array(np.arange(len(ids)) < real)
+        arrays = [pa.FixedSizeListArray.from_arrays(x, self.sequence) for x in values]
         self.out.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
 
     def close(self) -> None:
@@ -99,20 +100,21 @@ class ShardWriter:
             x.close()
 
 
-def read_sequence(ids_path: str, index: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``index`` of a shard and its mask, as views of the mapped file."""
+def read_sequence(ids_path: str, index: int) -> tuple[pa.Array, pa.Array]:
+    """Sequence ``index`` of a shard and its mask, as Arrow arrays over the mapped file's own bytes."""
     reader = pa.ipc.open_file(_open(ids_path, "r"))
     batch = reader.get_batch(index // BATCH)
     n = batch.schema.field("ids").type.list_size
     at = index % BATCH * n
-    return tuple(batch.column(c).values.to_numpy(zero_copy_only=True)[at : at + n] for c in ("ids", "mask"))
+    return tuple(batch.column(c).values.slice(at, n) for c in ("ids", "mask"))
 
 
 def read_documents(ids_path: str, docs_path: str) -> Iterator[tuple[list, np.ndarray, list[np.ndarray]]]:
     """The documents of a shard as their files hold them: doc_ids, starts in the shard and ids, in batches."""
     reader = pa.ipc.open_file(_open(ids_path, "r"))
     docs = pa.ipc.open_file(_open(docs_path, "r"))
-    held, held_from, k = np.zeros(0, np.uint32), 0, 0
+    kind = reader.schema.field("ids").type.value_type.to_pandas_dtype()
+    held, held_from, k = np.zeros(0, kind), 0, 0
     for i in range(docs.num_record_batches):
         b = docs.get_batch(i)
         starts, counts = b.column("start").to_numpy(), b.column("n_tokens").to_numpy()
@@ -121,8 +123,7 @@ def read_documents(ids_path: str, docs_path: str) -> Iterator[tuple[list, np.nda
         held_from, have = int(starts[0]), len(parts[0])
         while held_from + have < need:
             batch = reader.get_batch(k)
-            ids, mask = (batch.column(c).values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
-            parts.append(ids[: int(mask.sum())] if not mask[-1] else ids)
+            parts.append(batch.column("ids").values.to_numpy(zero_copy_only=True)[: batch.column("mask").values.true_count])
             have += len(parts[-1])
             k += 1
         held = np.concatenate(parts) if len(parts) > 1 else parts[0]
@@ -141,10 +142,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         from pyspark import TaskContext
 
         enc, writer, shard = encoder(tokenizer), None, TaskContext.get().partitionId()
-        for b in chunks(batches):
+        for b in text_chunks(batches):
             if writer is None:
-                writer = ShardWriter(f"{folder}/{shard:08d}-{uuid.uuid4().hex}", sequence)
-            writer.add(b.column("doc_id").to_pylist(), [x + end for x in enc.encode(texts_of(b.column("text")))])
+                writer = ShardWriter(f"{folder}/{shard:08d}-{uuid.uuid4().hex}", sequence, len(enc.id_bytes))
+            writer.add(b.column("doc_id").to_pylist(), [x + end for x in enc.encode(b.column("text"))])
         if writer:
             writer.close()
             row = [[shard], [f"{writer.uri}.arrow"], [f"{writer.uri}.docs.arrow"], [writer.n_docs], [writer.n_tokens]]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, texts_of
+from .base import chunks, text_chunks, texts_of
 from .tokens import encoder, tokenizer_path
 
 RULES = ("first", "last", "majority")
@@ -64,7 +64,7 @@ def section_counts(docs: DataFrame, tokenizer: str, rule: str = "majority") -> D
 
     def run(batches):
         enc = encoder(tokenizer, offsets=True)
-        for b in chunks(batches, 128):
+        for b in text_chunks(batches, size=1 << 21):
             texts = texts_of(b.column("text"))
             cols: list[list[np.ndarray]] = [[] for _ in range(5)]
             times = []

@@ -13,18 +13,19 @@ punctuation is two pre-tokens at most, and goes straight to the library's model.
 from __future__ import annotations
 
 import os
-import re
 import struct
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces in each of the two generations that a worker remembers; those not met again go (results don't change).
 CACHE_PIECES = 400_000
 #: ASCII punctuation: after a plain word it is one pre-token.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space before white space or at the end: there the byte-level tokenizer may join spaces.
-LOOSE_SPACE = re.compile(r" (?=\s|$)|[\x1c-\x1f]")
+LOOSE_SPACE = r" ([\s\p{Z}\x{0b}\x{85}]|$)|[\x{1c}-\x{1f}]"
 
 
 def tokenizer_path(name: str) -> str:
@@ -128,18 +129,6 @@ class PieceEncoder:
         ids, spans = self._library(self.lead + piece)
         return (ids, (np.frombuffer(spans, "<i4") - len(self.lead)).astype("<i4").tobytes()) if self.offsets else ids
 
-    def _cut(self, text: str) -> tuple[str, list[str]] | None:
-        """What has no space before it, and the pieces after a space; None: only the whole text will do."""
-        for s in self.special:
-            if s in text:
-                return None
-        parts = text.split(" ")
-        if self.drops_space:
-            return "", parts
-        if LOOSE_SPACE.search(text):
-            return None
-        return parts[0], parts[1:]
-
     def _renew(self) -> None:
         if len(self.cache) > CACHE_PIECES:
             self.cache.old = {}
@@ -147,36 +136,91 @@ class PieceEncoder:
         if len(self.tails) > CACHE_PIECES:
             self.tails = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts only the library can cut."""
+        out = pa.array(np.zeros(len(texts), bool))
+        for s in self.special:
+            out = pc.or_(out, pc.match_substring(texts, s))
+        if not self.drops_space:
+            out = pc.or_(out, pc.match_substring_regex(texts, LOOSE_SPACE))
+        return out.to_numpy(zero_copy_only=False)
+
+    def _lookup(self, texts: pa.Array):
+        """The pieces of all texts: their number among the distinct ones, what is known of
+        those, their lengths, and where each text's pieces begin. First pieces have no space before them: they are left out."""
         self._renew()
-        out, known = [], self.cache.__getitem__
-        for text in texts:
-            if (c := self._cut(text)) is None:
+        if self.drops_space:  # white space goes and ASCII case too, so fewer pieces are distinct
+            texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        cut = pc.split_pattern(texts, " ")
+        begin = cut.offsets.to_numpy()
+        flat = cut.values.slice(begin[0], begin[-1] - begin[0])
+        begin = begin - begin[0]
+        coded = flat.dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary
+        known = list(map(self.cache.__getitem__, words.to_pylist()))
+        lens = pc.utf8_length(words).to_numpy().astype(np.int64)
+        nothing = (b"", b"") if self.offsets else b""
+        if not self.drops_space:
+            which[begin[:-1][begin[:-1] < begin[1:]]] = len(known)
+        return which, [*known, nothing], lens, begin, coded.indices.to_numpy()
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text."""
+        texts = _as_texts(texts)
+        whole = self._whole(texts)
+        which, known, _, begin, _ = self._lookup(texts)
+        if self.offsets:
+            known = [k[0] for k in known]
+        ids = pa.array(known, pa.binary()).take(pa.array(which))
+        at = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1][begin] if len(ids) else np.zeros(len(texts) + 1, np.int32)
+        data = memoryview(ids.buffers()[2] or b"")
+        out = []
+        for i, text in enumerate(texts.to_pylist()):
+            if whole[i]:
                 out.append(self._library(text)[0])
             else:
-                out.append((self._library(c[0])[0] if c[0] else b"") + b"".join(map(known, c[1])))
+                out.append(self._head(text)[0] + bytes(data[at[i] : at[i + 1]]))
         return out
 
-    def encode_spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _head(self, text: str) -> tuple[bytes, bytes]:
+        if self.drops_space:
+            return b"", b""
+        head = text.partition(" ")[0]
+        return self._library(head) if head else (b"", b"")
+
+    def encode_spans(self, texts: list[str] | pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids of each text, and the character spans of its tokens (n x 2)."""
-        self._renew()
-        out, known = [], self.cache.__getitem__
-        for text in texts:
-            c = self._cut(text)
-            ids, spans = self._library(text if c is None else c[0]) if c is None or c[0] else (b"", b"")
-            rel = np.frombuffer(spans, "<i4").reshape(-1, 2).astype(np.int64)
-            if c is not None and c[1]:
-                found = list(map(known, c[1]))
-                lens = np.fromiter(map(len, c[1]), np.int64, len(c[1])) + 1
-                at = np.cumsum(lens) - lens + (0 if self.drops_space else len(c[0]) + 1)
-                counts = np.fromiter((len(f[0]) for f in found), np.int64, len(found)) // 4
-                more = np.frombuffer(b"".join([f[1] for f in found]), "<i4").reshape(-1, 2) + np.repeat(at, counts)[:, None]
-                ids, rel = ids + b"".join([f[0] for f in found]), np.concatenate([rel, more]) if len(rel) else more
-            out.append((np.frombuffer(ids, "<u4"), rel))
+        texts = _as_texts(texts)
+        whole = self._whole(texts)
+        which, known, lens, begin, number = self._lookup(texts)
+        ids = pa.array([k[0] for k in known], pa.binary()).take(pa.array(which))
+        spans = pa.array([k[1] for k in known], pa.binary()).take(pa.array(which))
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] // 4 if len(ids) else np.zeros(1, np.int32)
+        flat_ids = np.frombuffer(ids.buffers()[2] or b"", "<u4")
+        flat = np.frombuffer(spans.buffers()[2] or b"", "<i4").reshape(-1, 2)
+        size = lens[number] + 1 if len(number) else np.zeros(0, np.int64)
+        start = np.cumsum(size) - size
+        place = start - np.repeat(start[np.minimum(begin[:-1], max(len(start) - 1, 0))] if len(start) else np.zeros(0, np.int64), np.diff(begin))
+        moved = flat + np.repeat(place, np.diff(ends))[:, None] if len(flat) else np.zeros((0, 2), np.int64)
+        at, out = ends[begin], []
+        for i, text in enumerate(texts.to_pylist()):
+            head = self._library(text) if whole[i] else self._head(text)
+            more = slice(0, 0) if whole[i] else slice(at[i], at[i + 1])
+            head_ids, head_spans = np.frombuffer(head[0], "<u4"), np.frombuffer(head[1], "<i4").reshape(-1, 2)
+            out.append((np.concatenate([head_ids, flat_ids[more]]), np.concatenate([head_spans, moved[more]]).astype(np.int64)))
         return out
 
 
+def _as_texts(texts: list[str] | pa.Array) -> pa.Array:
+    """Texts as an Arrow column without nulls."""
+    if not isinstance(texts, (pa.Array, pa.ChunkedArray)):
+        texts = pa.array(texts, pa.string())
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    return pc.fill_null(texts.cast(pa.string()), "")
+
+
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
