@@ -1 +1 @@
-
+"""Edit logs as streams."""
