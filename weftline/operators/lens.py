@@ -66,6 +66,7 @@ class TreeLens:
             old = c.originals.schema["fields"].dataType
             shared = [f.name for f in old.fields if f.name in view.nodes.schema["fields"].dataType.names]
             own = F.struct(*[(F.col(f"fields.`{f.name}`") if f.name in shared else F.col(f"_fields.`{f.name}`")).cast(f.dataType).alias(f.name) for f in old.fields])
+            own = F.when(F.col("fields").isNotNull(), own)
             cols.append(F.when(touched & F.col("_old").isNotNull(), F.col("_fields")).otherwise(own).alias("fields"))
         whole = nodes.select(*cols).unionByName(c.dropped_nodes.select([x for x in c.dropped_nodes.columns if x in {"record_id", "node_id", "anchor", "value", "fields"}]), allowMissingColumns=True)
         ids = whole.select(*KEY)
