@@ -1,7 +1,7 @@
 """Temperature mixing of sources, realised as budgeted block permutations. DataFrame functions only.
 
 Each source's share of the tokens is raised to an exponent and normalised. The exponent is bisected until the mixture
-meets a target: the highest entropy at or above ``entropy`` bits is reached, or no source is repeated more than
+meets a target: the steepest mixture that still has ``entropy`` bits, or the flattest in which no source is repeated more than
 ``max_repeats`` times. The token budget is given, or ("cover") it is the smallest that passes
 every source once, so that no document is lost. A round of the bisection evaluates a grid of exponents in one
 aggregation over the sources, which stay distributed.
@@ -60,7 +60,7 @@ def _key():
 
 
 def exponent(shares: DataFrame, max_repeats: float | None, entropy: float | None, budget: float | None) -> float:
-    """The largest exponent in [0, 1] whose mixture meets the target (0 if none does).
+    """The exponent in [0, 1] of the flattest mixture within ``max_repeats``, or of the steepest one that has ``entropy`` bits.
 
     ``shares`` has a row per source with ``p``, its share of the tokens. With ``budget`` None it covers every source once.
     """
@@ -175,12 +175,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rounds, lo, hi = [], "0.0::DOUBLE", "1.0::DOUBLE"
+    rounds = []
     prev = "(SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi)"
     for r in range(ROUNDS):
         grid = f"SELECT i, lo, hi, lo + (hi - lo) * i / {GRID} AS a FROM {prev}, range({GRID + 1}) t(i)"
-        fine = f"SELECT min(i) AS at, any_value(lo) AS lo, any_value(hi) AS hi FROM g{r}, ends WHERE pow(top / least, 1 - a) <= {MAX_REPEATS} * (1 + 1e-12)"
-        rounds.append(f"g{r} AS ({grid}), f{r} AS ({fine}), r{r} AS (SELECT lo + (hi - lo) * greatest(at - 1, 0) / {GRID} AS lo, lo + (hi - lo) * at / {GRID} AS hi FROM f{r})")
+        fine = f"SELECT min(i) AS first_i, any_value(lo) AS lo, any_value(hi) AS hi FROM g{r}, ends WHERE pow(top / least, 1 - a) <= {MAX_REPEATS} * (1 + 1e-12)"
+        rounds.append(f"g{r} AS ({grid}), f{r} AS ({fine}), r{r} AS (SELECT lo + (hi - lo) * greatest(first_i - 1, 0) / {GRID} AS lo, lo + (hi - lo) * first_i / {GRID} AS hi FROM f{r})")
         prev = f"r{r}"
     return f"""
 WITH n AS (
