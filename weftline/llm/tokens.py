@@ -98,36 +98,61 @@ class PieceEncoder:
         e = self.tok.encode(text, add_special_tokens=False)
         return b"".join([self.id_bytes[i] for i in e.ids]), np.array(e.offsets, "<i4").tobytes() if self.offsets else b""
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        """Ids and spans of a plain word after a space, by the library's model alone."""
+    def _word(self, word: str, lead: bool = True) -> tuple[bytes, bytes]:
+        """Ids and spans of a plain word, after a space if ``lead``, by the library's model alone."""
         text = word.lower() if self.drops_space else word
         if not text.isascii():
             text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
-        found = self.model.tokenize(self.lead_letter + text)
+        lead = lead and not self.drops_space
+        found = self.model.tokenize(self.lead_letter + text if lead else text)
         ids = b"".join([self.id_bytes[t.id] for t in found])
         if not self.offsets:
             return ids, b""
-        if not word.isascii():
-            return ids, (np.frombuffer(self._library(self.lead + word)[1], "<i4") - len(self.lead)).astype("<i4").tobytes()
-        ends = list(accumulate(len(t.value.removesuffix("</w>") if self.drops_space else t.value) for t in found))
-        spans = [x - len(self.lead) for pair in zip([0, *ends], ends, strict=False) for x in pair]
+        if self.drops_space and not word.isascii():
+            return ids, self._library(word)[1]
+        ends = list(accumulate([len(t.value.removesuffix("</w>") if self.drops_space else t.value) for t in found]))
+        first, last = [0, *ends[:-1]], ends
+        if not word.isascii():  # from bytes to the characters that hold them
+            of = [i for i, c in enumerate((" " if lead else "") + word) for _ in range(1 + (c > "\x7f"))]
+            first, last = [of[x] for x in first], [of[x - 1] + 1 for x in last]
+        spans = [x - lead for pair in zip(first, last, strict=True) for x in pair]
         return ids, struct.pack(f"<{len(spans)}i", *spans)
 
+    def _tail(self, tail: str) -> tuple[bytes, bytes]:
+        if (found := self.tails.get(tail)) is None:
+            found = self.tails[tail] = self._library(tail)
+        return found
+
+    def _join(self, *parts: tuple[tuple[bytes, bytes], int]):
+        """Encodings one after another, each moved by so many characters, in the cache's form."""
+        ids = b"".join([p[0] for p, _ in parts])
+        if not self.offsets:
+            return ids
+        return ids, b"".join([(np.frombuffer(p[1], "<i4") + by).astype("<i4").tobytes() if by else p[1] for p, by in parts])
+
+    def _known(self, piece: str) -> tuple[bytes, bytes]:
+        found = self.cache[piece]
+        return found if self.offsets else (found, b"")
+
     def _learn(self, piece: str):
-        word = piece.rstrip(MARKS)
-        if self.direct and _plain(word):
-            if len(word) == len(piece):
-                found = self._word(word)
-                return found if self.offsets else found[0]
-            tail = piece[len(word) :]
-            if (end := self.tails.get(tail)) is None:
-                end = self.tails[tail] = self._library(tail)
-            if not self.offsets:
-                return self.cache[word] + end[0]
-            ids, spans = self.cache[word]
-            return ids + end[0], spans + (np.frombuffer(end[1], "<i4") + len(word)).astype("<i4").tobytes()
+        if self.direct:
+            word = piece.rstrip(MARKS)
+            if _plain(word):
+                if len(word) == len(piece):
+                    return self._join((self._word(word), 0))
+                return self._join((self._known(word), 0), (self._tail(piece[len(word) :]), len(word)))
+            if "\n" in piece and not self.drops_space:
+                before, _, after = piece.partition("\n")
+                if not before:  # a line break and a word that has no space before it
+                    word = after.rstrip(MARKS)
+                    if _plain(word):
+                        tail = after[len(word) :]
+                        parts = [(self._tail("\n"), 0), (self._word(word, False), 1)]
+                        return self._join(*parts, (self._tail(tail), 1 + len(word))) if tail else self._join(*parts)
+                elif not before[-1].isspace() and _plain(after.rstrip(MARKS)):
+                    return self._join((self._known(before), 0), (self._known("\n" + after), len(before)))
         ids, spans = self._library(self.lead + piece)
-        return (ids, (np.frombuffer(spans, "<i4") - len(self.lead)).astype("<i4").tobytes()) if self.offsets else ids
+        return self._join(((ids, (np.frombuffer(spans, "<i4") - len(self.lead)).astype("<i4").tobytes() if self.offsets else b""), 0))
 
     def _renew(self) -> None:
         if len(self.cache) > CACHE_PIECES:
