@@ -65,6 +65,27 @@ def identity(s: Schema) -> Migration:
     return Migration({v: v for v in s.vertices}, {e: e for e in s.edges}, {h: h for h in s.hyper_edges})
 
 
+def to_rows(m: Migration) -> list[tuple[str, str, str]]:
+    """A mapping as data: (what, source, target) rows, so that it can be kept in a table."""
+    import json
+
+    edge = lambda e: json.dumps([e.src, e.tgt, e.kind, e.name])
+    out = [("vertex", a, b) for a, b in m.vertex_map.items()] + [("edge", edge(a), edge(b)) for a, b in m.edge_map.items()]
+    out += [("hyper_edge", a, b) for a, b in m.hyper_edge_map.items()] + [("resolver", json.dumps(list(k)), edge(e)) for k, e in m.resolver.items()]
+    return sorted(out)
+
+
+def from_rows(rows) -> Migration:
+    """The mapping that such rows describe."""
+    import json
+
+    edge = lambda t: Edge(*json.loads(t))
+    by: dict = {"vertex": {}, "edge": {}, "hyper_edge": {}, "resolver": {}}
+    for what, a, b in rows:
+        by[what][edge(a) if what == "edge" else tuple(json.loads(a)) if what == "resolver" else a] = edge(b) if what in ("edge", "resolver") else b
+    return Migration(by["vertex"], by["edge"], by["hyper_edge"], {}, by["resolver"])
+
+
 class MigrationBuilder:
     def __init__(self):
         self.m = Migration()
