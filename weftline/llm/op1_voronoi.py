@@ -6,7 +6,7 @@ Pivots cut this space into Voronoi cells. A query group is the queries of one ce
 the cells (largest query distance, the smallest data distances) give each group an upper bound on the distance
 of its queries' k-th neighbours, by the triangle inequality. A data vector is sent to a group only if its
 distance to the group's pivot, less the group's radius, is within that bound. Each group is
-solved by blocks of data and queries, whose sizes are fixed, and the blocks' best merge per query.
+solved by blocks of data and queries, whose sizes are fixed (groups that need most of the data share one copy of it), and the blocks' best merge per query.
 
 Vectors that are equal can only differ by id: per distinct vector the smallest k + 1 ids stay (a
 limit that Spark applies before the shuffle), which loses nothing and takes away groups of copies.
@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import chunks, written
+from .base import chunks, first_by_hash, written
 
 PIVOTS = 32
 #: Rows of a block of data and of a block of queries.
-DATA_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 11
+DATA_BLOCK, QUERY_BLOCK = 1 << 13, 1 << 14
+#: Cells that need more than this share of the data are solved as one group.
+WIDE = 0.5
 
 
 def usable(column: str):
@@ -90,7 +92,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, pivots: int = PIVOTS)
     longest = float(size.m or 0)
     wide = float(size.top or 0) * float(queries.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0) * (size.dim or 1) >= 2**53
     # A bounded sample, dealt by hash.
-    chosen = data.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    chosen = first_by_hash(data.select("vec_id", "v"), ["vec_id"], pivots).collect()
     at = _lift(np.array([r.v for r in chosen], float), longest)
     between = _to_pivots(at, at)
 
@@ -118,30 +120,43 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, pivots: int = PIVOTS)
         limit.append(upper[min(k, len(upper) - 1)] + radius[g] + slack if len(upper) > k else np.inf)
     limit = np.array(limit)
 
-    def needed(batches, count=False):
+    if not groups:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+    def count(batches):
         total = np.zeros(len(groups), np.int64)
         for b in chunks(batches, 1 << 13):
-            x = _matrix(b.column("v"))
-            row, g = np.nonzero(_to_pivots(_lift(x, longest), at[groups]) <= limit)
-            if count:
-                total += np.bincount(g, minlength=len(groups))
-            elif len(row):
-                row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(groups)[g], pa.int32()), b.column("vec_id").take(row), b.column("v").take(row)], ["cell", "vec_id", "v"])
-        if count:
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(total)], ["cell", "n"])
+            total += (_to_pivots(_lift(_matrix(b.column("v")), longest), at[groups]) <= limit).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(total)], ["cell", "n"])
 
-    if not groups:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    counts = s.mapInArrow(lambda it: needed(it, True), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    n_data = {r.cell: r.n for r in counts.collect()}
+    n_data = {r.cell: r.n for r in s.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     n_query = {r.cell: r["count"] for r in q.groupBy("cell").count().collect()}
+    # Cells that need most of the data anyway share one copy of it.
+    n_all = s.count()
+    wide = [g for g in groups if n_data.get(g, 0) > WIDE * n_all]
+    group_of = {g: wide[0] if g in wide else g for g in groups}
+    merged = sorted(set(group_of.values()))
+    to = np.array([merged.index(group_of[g]) for g in groups])
+
+    def needed(batches):
+        for b in chunks(batches, 1 << 13):
+            near = _to_pivots(_lift(_matrix(b.column("v")), longest), at[groups]) <= limit
+            any_of = np.zeros((len(near), len(merged)), bool)
+            for j, g in enumerate(to):
+                any_of[:, g] |= near[:, j]
+            row, g = np.nonzero(any_of)
+            if len(row):
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(merged)[g], pa.int32()), b.column("vec_id").take(row), b.column("v").take(row)], ["group", "vec_id", "v"])
+
     # Blocks: a group's data are dealt over n_d blocks and its queries over n_q, whatever its size.
-    blocks = spark.createDataFrame([(g, max(1, -(-n_data.get(g, 0) // DATA_BLOCK)), max(1, -(-n_query[g] // QUERY_BLOCK))) for g in groups], "cell int, n_d int, n_q int")
-    blocks = F.broadcast(blocks)  # a row for each of at most `pivots` groups
+    sizes = [(g, group_of[g], n_all if group_of[g] in wide else n_data.get(g, 0), sum(n_query[c] for c in groups if group_of[c] == group_of[g])) for g in groups]
+    blocks = spark.createDataFrame([(c, g, max(1, -(-d // DATA_BLOCK)), max(1, -(-n // QUERY_BLOCK))) for c, g, d, n in sizes], "cell int, group int, n_d int, n_q int")
+    blocks = F.broadcast(blocks)  # a row for each of at most `pivots` cells
+    by_group = F.broadcast(blocks.select("group", "n_d", "n_q").distinct())
     salt = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1 << 30))
-    left = q.select("cell", "vec_id", "v").join(blocks, "cell").select("cell", (salt % F.col("n_q")).alias("b_q"), each(F.col("n_d")).alias("b_d"), "vec_id", "v")
-    right = s.select("vec_id", "v").mapInArrow(needed, "cell int, vec_id long, v array<long>").join(blocks, "cell").select("cell", each(F.col("n_q")).alias("b_q"), (salt % F.col("n_d")).alias("b_d"), "vec_id", "v")
+    left = q.select("cell", "vec_id", "v").join(blocks, "cell").select("group", (salt % F.col("n_q")).alias("b_q"), each(F.col("n_d")).alias("b_d"), "vec_id", "v")
+    right = s.select("vec_id", "v").mapInArrow(needed, "group int, vec_id long, v array<long>").join(by_group, "group").select("group", each(F.col("n_q")).alias("b_q"), (salt % F.col("n_d")).alias("b_d"), "vec_id", "v")
 
     def solve(ours, theirs):
         names = ["query_id", "vec_id", "score"]
@@ -156,14 +171,14 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, pivots: int = PIVOTS)
         for a in range(0, len(qs), 256):
             scores = (qs[a : a + 256] @ x.T).astype(np.int64)
             own = q_ids[a : a + 256, None] == ids
-            scores[own] = np.iinfo(np.int64).min
+            scores[own] = -np.iinfo(np.int64).max  # its negative exists
             row, col = best(scores, ids, k)
             fine = ~own[row, col]
             row, col = row[fine], col[fine]
             found.append((q_ids[a + row], ids[col], scores[row, col]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names)
 
-    by = ["cell", "b_q", "b_d"]
+    by = ["group", "b_q", "b_d"]
     parts = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(solve, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
