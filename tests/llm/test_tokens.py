@@ -30,7 +30,7 @@ def test_pieces_encode_like_whole_texts(name):
         assert [tuple(x) for x in where.tolist()] == e.offsets, t
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.text(max_size=30))
 def test_any_text(text):
     for name in FILES:
@@ -143,7 +143,7 @@ def place(lengths, **how):
     return bins
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=120, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 30), max_size=12), st.sampled_from(["dot", "norm"]), st.integers(1, 6), st.integers(2500, 5000))
 def test_plan_keeps_every_capacity(lengths, measure, docs, attention):
     bins = place(lengths, capacity=50, max_docs=docs, max_attention=attention, measure=measure)
