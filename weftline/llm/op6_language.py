@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import chunks, crc32_of
+from .base import PLACES, chunks, crc32_of, place_of
 
 DIM = 512
 #: Documents of a language that are learnt from at most.
 SAMPLE = 1000
+#: Languages whose sizes are joined by broadcast at most; beyond that the join shuffles.
+BROADCAST_LANGS = 10_000
 #: Below this cosine a pipeline's document speaks none of the languages.
 LEAST_COSINE = 0.15
 #: N-grams whose vectors a worker keeps; beyond that it starts afresh.
@@ -61,7 +63,7 @@ class Profiles:
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams of a text and how often they occur; nothing if it has no letter."""
-        found, counts, tail = [], [], np.array([BLANK], np.uint64)
+        found, counts, tail, some = [], [], np.array([BLANK], np.uint64), False
         low = text.lower()
         for at in range(0, len(low), TEXT_PIECE):
             cp = np.frombuffer(low[at : at + TEXT_PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -72,8 +74,7 @@ class Profiles:
                 far = np.flatnonzero(~near)
                 kinds = {c: chr(c).isalpha() for c in set(cp[far].tolist())}
                 is_letter[far] = [kinds[c] for c in cp[far].tolist()]
-            if not is_letter.any():
-                continue
+            some = some or bool(is_letter.any())
             x = np.where(is_letter, cp, BLANK).astype(np.uint64)
             x = np.concatenate([tail, x])
             if at + TEXT_PIECE >= len(low):
@@ -85,8 +86,10 @@ class Profiles:
             code, n = np.unique(x[:-2] << np.uint64(42) | x[1:-1] << np.uint64(21) | x[2:], return_counts=True)
             found.append(code)
             counts.append(n)
-        if len(found) < 2:
-            return (found[0], counts[0]) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if not some:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(found) == 1:
+            return found[0], counts[0]
         code, where = np.unique(np.concatenate(found), return_inverse=True)
         return code, np.bincount(where, np.concatenate(counts)).astype(np.int64)
 
@@ -133,8 +136,13 @@ def profiles(dim: int = DIM) -> Profiles:
 def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 4, held_out: int = 2, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """The languages, and their prototypes as rows of unit length."""
     known = docs.where("lang is not null and text is not null").where(crc32_of("doc_id") % folds != held_out)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).drop("n").distinct()
+    ids = known.select("doc_id", "lang").withColumn("place", place_of("doc_id"))
+    # Of a frequent language only places that about twice the sample stays below are sorted.
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))
+    few = sizes.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
+    ids = ids.join(F.broadcast(sizes) if few else sizes, "lang").where((F.col("size") <= 4 * sample) | (F.col("place") < F.lit(float(PLACES)) / F.col("size") * (2 * sample)))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
     # `sample` ids for each language: small enough to broadcast.
     rows = known.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
 
