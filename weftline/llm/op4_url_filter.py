@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks
+from .base import chunks, first_by_hash
 from .gbt import Trees, fit
 
 #: (host, path, verdict)
@@ -108,7 +108,7 @@ def lexical(url: str, host: str, path: str) -> list[float]:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Trees, Suffixes]:
     """Fit on rows url, y (1: block), ``sample`` of them at most."""
     rows = labelled.where("url is not null and y is not null").select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "y")
-    got = rows.orderBy(F.xxhash64("url"), "url", "y").limit(sample).collect()
+    got = first_by_hash(rows.select("url", "y", "host", "path"), ["url", "y"], sample).collect()
     y = np.array([r.y for r in got], float)
     suffixes = Suffixes([r.host for r in got], y)
     x = np.array([lexical(r.url, r.host, r.path) + suffixes.of(r.host, i % Suffixes.FOLDS) for i, r in enumerate(got)], float).reshape(len(got), len(FEATURES))
