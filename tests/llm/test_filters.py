@@ -139,6 +139,14 @@ def test_language_held_out_accuracy(spark):
     assert min(g.score for g, r in test if g.lang_pred == r.lang and len(r.text) > 200) > op6_language.LEAST_COSINE
 
 
+def test_rejected_documents(spark, odd):
+    """Junk goes; clean documents stay, however short."""
+    clean = [(i, prose(3 + i * 7, i), "en", "s", 0) for i in range(60)]
+    junk = [(100, "12 34 !!", "en", "s", 0), (101, None, None, "s", 0), (102, "".join(chr(0x4E00 + i * 7 % 900) for i in range(2000)), None, "s", 0)]
+    kept = op6_language.known_language(spark.createDataFrame(clean + junk, odd.schema)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(60))
+
+
 def test_language_odd(spark, tmp_path, odd_rows, clashing, none):
     got = op6_language.op6_language(spark, write_tables(tmp_path, documents=clashing))
     assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]

@@ -29,8 +29,9 @@ DIM = 512
 SAMPLE = 1000
 #: Languages whose sizes are joined by broadcast at most; beyond that the join shuffles.
 BROADCAST_LANGS = 10_000
-#: Below this cosine a pipeline's document speaks none of the languages.
-LEAST_COSINE = 0.15
+#: Below this cosine a pipeline's document of so many characters speaks none of the languages; a shorter one
+#: has too few n-grams to tell, and goes only if it has no letter.
+LEAST_COSINE, LEAST_CHARACTERS = 0.15, 300
 #: N-grams whose vectors a worker keeps; beyond that it starts afresh.
 KEPT_GRAMS = 100_000
 #: Characters of a text whose n-grams are counted at a time.
@@ -198,8 +199,9 @@ def known_language(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
 
         values, out = [None if t is None else str(t) for t in texts], []
         for at in range(0, len(values), 512):
-            said, score = predict(values[at : at + 512], langs, prototypes)
-            out += [s != "und" and c >= least for s, c in zip(said, score.tolist(), strict=True)]
+            part = values[at : at + 512]
+            said, score = predict(part, langs, prototypes)
+            out += [s != "und" and (c >= least or len(t) < LEAST_CHARACTERS) for t, s, c in zip(part, said, score.tolist(), strict=True)]
         return pd.Series(out, dtype=bool)
 
     return docs.where(known(F.col("text").cast("string")))
