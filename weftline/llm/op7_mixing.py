@@ -136,16 +136,17 @@ def schedule(narrow: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy
 
 
 def passes(rows: DataFrame, sources: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """``rows`` (with source and doc_id) once for each pass that has them, with epoch and block."""
+    """``row`` (the columns of ``rows``, which has source and doc_id), once for each pass that has it, with key, block and epoch."""
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    listed = sources.select(F.col("key").alias("_key"), F.col("full").alias("_full"), F.col("rest").alias("_rest"), F.col("cut_turn").alias("_cut_turn"), F.col("cut_doc").alias("_cut_doc"))
-    keyed = rows.withColumn("_key", _key()).withColumn("_hash", _doc_hash()).withColumn("_block", _block(F.col("_hash"), blocks))
-    turn = _turn(F.col("_key"), F.col("_block"), F.col("_full"))
+    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), _key().alias("key"), _doc_hash().alias("doc_hash"))
+    keyed = keyed.withColumn("block", _block(F.col("doc_hash"), blocks))
+    turn = _turn(F.col("key"), F.col("block"), F.col("full"))
     # No cut: the whole rest fits, which is so only if nothing is left over.
-    part = (F.col("_rest") > 0) & (F.col("_cut_turn").isNull() | (turn < F.col("_cut_turn")) | ((turn == F.col("_cut_turn")) & (F.col("_hash") <= F.coalesce("_cut_doc", F.lit("")))))
-    joined = keyed.join(F.broadcast(listed) if few else listed, "_key")
-    n = F.col("_full") + F.when(part, 1).otherwise(0)
-    return joined.withColumn("_n", n).where("_n > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    part = (F.col("rest") > 0) & (F.col("cut_turn").isNull() | (turn < F.col("cut_turn")) | ((turn == F.col("cut_turn")) & (F.col("doc_hash") <= F.coalesce("cut_doc", F.lit("")))))
+    listed = sources.select("key", "full", "rest", "cut_turn", "cut_doc")
+    joined = keyed.join(F.broadcast(listed) if few else listed, "key")
+    times = joined.withColumn("times", F.col("full") + F.when(part, 1).otherwise(0)).where("times > 0")
+    return times.select("row", "key", "block", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))
 
 
 def narrow_rows(docs: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, source, n_tokens, epoch, block, weight, repeats, position: the mixture's rows."""
     narrow = written(narrow_rows(docs), "narrow")
     sources, places = schedule(narrow, **how)
-    found = passes(narrow, sources).select("doc_id", "source", "n_tokens", "key", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"))
+    found = passes(narrow, sources).select("row.doc_id", "row.source", "row.n_tokens", "key", "block", "epoch")
     found = found.join(places, ["key", "block", "epoch"]).join(sources.select("key", "weight", "repeats"), "key")
     position = F.round((F.col("epoch") + F.col("place")) / F.greatest("repeats", F.lit(1e-9)), 6)
     return found.select("doc_id", "source", "n_tokens", "epoch", "block", F.round("weight", 6).alias("weight"), F.round("repeats", 6).alias("repeats"), position.alias("position"))
@@ -167,7 +168,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, once for each pass of the mixture that has them."""
     sources, _ = schedule(written(narrow_rows(docs), "narrow"), **how)
-    return passes(docs, sources).select(docs.columns)
+    return passes(docs, sources).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
