@@ -305,3 +305,16 @@ def test_comparison_reports():
     assert [x.kind for x in v] == ["ConstraintTightened"] and not compare.compatible(v)
     assert "BREAKING" in compare.report_text(v) and json.loads(compare.report_json(v))["breaking"]
     assert compare.compatible(compare.classify(compare.diff(Schema(), Schema("open", {"n": "object"}))))
+
+
+def test_valid_data_take_the_shorter_way_to_the_same_result(spark, doc):
+    deep = chain(("v0", "v1", "a", None), ("v1", "v2", "b", None), ("v2", "v3", "c", None), ("v0", "w", "d", None), ("v2", "x", "e", None))
+    t = make(spark, [(0, "v0", None, None), (1, "v1", None, None), (2, "v2", None, None), (3, "v3", "q", None), (4, "w", "r", None), (5, "x", "s", None), (6, "v3", "t", None)], [(0, 1, "a", None), (1, 2, "b", None), (2, 3, "c", None), (0, 4, "d", None), (2, 5, "e", None), (2, 6, "c", None)])
+    keep = lambda *v: Compiled(frozenset(v), frozenset(Edge("v0", x, "to", x) for x in v if x != "v0"), {x: x for x in v})
+    cases = [(t, deep, keep("v0", "v3")), (t, deep, keep("v0", "v3", "w", "x")), (t, deep, keep("v0")), (t, deep, keep("v3")), (t, deep, Compiled(frozenset({"v0", "v3"}), frozenset(), {"v0": "v0", "v3": "v3"})), (doc, DOC, KEEP_TEXT)]
+    for data, schema, m in cases:
+        a, b = tree.restrict(data, schema, m), tree.restrict(data, schema, m, valid=True)
+        for x, y in ((a.tree.nodes, b.tree.nodes), (a.tree.arcs, b.tree.arcs), (a.errors, b.errors), (a.dropped_nodes, b.dropped_nodes), (a.dropped_arcs, b.dropped_arcs), (a.kept, b.kept)):
+            cols = sorted(x.columns)
+            assert sorted(x.columns) == sorted(y.columns)
+            assert rows(x.select(cols)) == rows(y.select(cols)), (m.survivors, cols)

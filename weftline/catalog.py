@@ -327,12 +327,12 @@ CONTRACT = Compiled(frozenset({"customer", "line"}), frozenset({Edge("customer",
 
 @query_of("tree_restrict_nodes", f"{_NODES} SELECT record_id, node_id, CASE anchor WHEN 'lineitem' THEN 'line' ELSE anchor END AS anchor, price FROM nodes WHERE anchor <> 'orders'")
 def tree_restrict_nodes(spark, d):
-    return tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT).tree.nodes.select("record_id", "node_id", "anchor", "fields.price")
+    return tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT, valid=True).tree.nodes.select("record_id", "node_id", "anchor", "fields.price")
 
 
 @query_of("tree_restrict_arcs", f"WITH {_LINES} SELECT o_custkey AS record_id, 0::BIGINT AS parent, node_id AS child, 'bought' AS kind, 'lines' AS name FROM lines")
 def tree_restrict_arcs(spark, d):
-    return tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT).tree.arcs.select("record_id", "parent", "child", "kind", "name")
+    return tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT, valid=True).tree.arcs.select("record_id", "parent", "child", "kind", "name")
 
 
 @query_of("tree_restrict_predicate", f"""WITH {_LINES} SELECT o_custkey AS record_id, CASE WHEN o_orderstatus = 'F' THEN parent ELSE 0 END AS parent, node_id AS child FROM lines
@@ -351,7 +351,7 @@ def tree_restrict_errors(spark, d):
 
 @query_of("tree_complement", f"SELECT o_custkey AS record_id, (o_orderkey + 1) * {BLOCK} AS node_id, 'orders' AS anchor, 0::BIGINT AS contracted_into FROM orders")
 def tree_complement(spark, d):
-    return tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT).dropped_nodes.select("record_id", "node_id", "anchor", "contracted_into")
+    return tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT, valid=True).dropped_nodes.select("record_id", "node_id", "anchor", "contracted_into")
 
 
 @query_of("tree_transforms", f"{_NODES} SELECT record_id, node_id, name AS label, price / 2 AS half FROM nodes WHERE anchor = 'orders'")
@@ -376,7 +376,7 @@ def tree_product(spark, d):
 @query_of("tree_section", f"""{_NODES}, top AS (SELECT record_id, max(CASE WHEN anchor <> 'orders' THEN node_id END) AS t FROM nodes GROUP BY record_id)
     SELECT record_id, node_id, anchor FROM nodes WHERE anchor <> 'orders' UNION ALL SELECT record_id, t + 1, 'note' FROM top""")
 def tree_section(spark, d):
-    view = tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT).tree
+    view = tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT, valid=True).tree
     return tree.section(view, CONTRACT, [(0, "note", "remark", "added")]).nodes.select("record_id", "node_id", "anchor")
 
 
@@ -391,7 +391,7 @@ def tree_validate(spark, d):
 
 @query_of("tree_provenance", f"{_NODES} SELECT record_id, node_id, anchor AS source_anchor, CASE anchor WHEN 'lineitem' THEN 'line' ELSE anchor END AS target_anchor FROM nodes WHERE anchor <> 'orders'")
 def tree_provenance(spark, d):
-    return tree.provenance(tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT))
+    return tree.provenance(tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT, valid=True))
 
 
 FIBER = Compiled(frozenset({"doc", "money"}), frozenset(), {"customer": "doc", "orders": "money", "lineitem": "money"})
@@ -414,7 +414,7 @@ def fiber_predicate(spark, d):
 
 @query_of("fiber_at_node", f"{_NODES} SELECT record_id, node_id FROM nodes WHERE anchor <> 'lineitem'")
 def fiber_at_node(spark, d):
-    return fibers.at_node(tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT), 0)
+    return fibers.at_node(tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT, valid=True), 0)
 
 
 @query_of("fiber_group_by", f"WITH {_LINES} SELECT 'money' AS fiber, count(*) AS arcs FROM lines")
@@ -471,7 +471,7 @@ def _checkpoints(spark: SparkSession) -> None:
 # Lenses -----------------------------------------------------------------------------------------
 
 BOUGHT = Schema("open", {"customer": "object", "line": "object"}, CONTRACT.edges)
-ORDER_LENS = lens.TreeLens(ORDER_TREE, BOUGHT, CONTRACT)
+ORDER_LENS = lens.TreeLens(ORDER_TREE, BOUGHT, CONTRACT, valid=True)
 
 
 @query_of("lens_get", f"{_NODES} SELECT record_id, count(*) AS n, sum(CASE anchor WHEN 'lineitem' THEN 1 ELSE 0 END)::BIGINT AS lines FROM nodes WHERE anchor <> 'orders' GROUP BY record_id")

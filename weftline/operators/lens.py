@@ -37,10 +37,11 @@ class TreeLens:
     source: Schema
     target: Schema
     compiled: Compiled
+    valid: bool = False  # sources fit their schema
 
     def get(self, tree: Tree) -> tuple[Tree, Complement, DataFrame]:
         """The view, the complement, and the records that failed."""
-        r: Restricted = restrict(tree, self.source, self.compiled)
+        r: Restricted = restrict(tree, self.source, self.compiled, self.valid)
         return r.tree, Complement(r.dropped_nodes.drop("contracted_into"), r.kept, tree.arcs, tree.fans, self.source.fingerprint()), r.errors
 
     def put(self, view: Tree, c: Complement, check: bool = True) -> Tree:
@@ -127,7 +128,7 @@ def compose(f: TreeLens, g: TreeLens) -> TreeLens:
             if v not in survival:
                 survival[v] = e
     edge_map = {e: b.edge_map[x] for e, x in a.edge_map.items() if x in b.edge_map}
-    return TreeLens(f.source, g.target, Compiled(frozenset(way.values()), b.edges, way, edge_map, dict(b.resolver), {}, {}, transforms, survival))
+    return TreeLens(f.source, g.target, Compiled(frozenset(way.values()), b.edges, way, edge_map, dict(b.resolver), {}, {}, transforms, survival), f.valid)
 
 
 @dataclass(frozen=True)

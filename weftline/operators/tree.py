@@ -87,15 +87,96 @@ def nearest_alive(marked: DataFrame, arcs: DataFrame, rounds: int | None) -> Dat
     return up.select("record_id", "child", "pos", F.when(F.col("alive"), F.col("parent")).alias("anc"))
 
 
-def restrict(tree: Tree, src: Schema, m: Compiled) -> Restricted:
+def dead_run(src: Schema, m: Compiled) -> int | None:
+    """How many vertices that may die can follow each other on a path; None if a cycle has one."""
+    mortal = {v for v in src.vertices if not m.survives(v) or v in m.survival}
+    run: dict = {}
+
+    def below(v, open_=()):
+        if v in open_:
+            return None
+        if v not in run:
+            found = [below(e.tgt, (*open_, v)) for e in src.outgoing(v) if e.tgt in mortal]
+            run[v] = None if None in found else 1 + max(found, default=0)
+        return run[v]
+
+    runs = [below(v) for v in sorted(mortal)]
+    return None if None in runs else max(runs, default=0)
+
+
+def labels_of(src: Schema) -> dict | None:
+    """(kind, name) of an arc to its edge, where they tell edges apart; else None."""
+    out = {(e.kind, e.name): e for e in src.edges}
+    return out if len(out) == len(src.edges) else None
+
+
+def restrict_valid(tree: Tree, src: Schema, m: Compiled, run: int, labels: dict) -> Restricted:
+    """``restrict`` of data that fit their schema, where nobody's survival depends on values.
+
+    An arc's label then says both anchors, so nodes are only filtered and renamed, and arcs join with arcs alone: those
+    whose parent dies climb, as often as dead vertices can follow each other. Errors that the schema rules out are not looked for.
+    """
+    spark = tree.nodes.sparkSession
+    names = _pairs(spark, [(k, n, e.src, e.tgt) for (k, n), e in labels.items()] or [("", "", "", "")], "kind string, name string, _src string, _tgt string")
+    arcs = tree.arcs.join(names, [tree.arcs[c].eqNullSafe(names[c]) for c in ("kind", "name")]).select("record_id", "parent", "child", "pos", "_src", "_tgt")
+    dead = [v for v in sorted(src.vertices) if not m.survives(v)]
+    near = arcs
+    for _ in range(run):
+        up = near.where(F.col("_src").isin(dead))
+        above = arcs.select("record_id", F.col("child").alias("parent"), F.col("parent").alias("_p"), F.col("_src").alias("_s"))
+        climbed = up.join(above, ["record_id", "parent"], "left").select("record_id", F.col("_p").alias("parent"), "child", "pos", F.col("_s").alias("_src"), "_tgt")
+        near = near.where(~F.col("_src").isin(dead) | F.col("_src").isNull()).unionByName(climbed)
+    known, ambiguous, pairs = [], [], set()
+
+    def walk(v, anc):
+        here = v if m.survives(v) else anc
+        for e in src.outgoing(v):
+            if here is not None and m.survives(e.tgt) and (here, e.tgt) not in pairs:
+                pairs.add((here, e.tgt))
+                found = m.edge_between(m.target(here), m.target(e.tgt))
+                (ambiguous if isinstance(found, str) else known).append((here, e.tgt, found))
+            if not m.survives(e.tgt) or (v, e.tgt) not in seen:
+                seen.add((v, e.tgt))
+                walk(e.tgt, here)
+
+    seen: set = set()
+    for r in src.roots():
+        walk(r, None)
+    edges = _pairs(spark, [(a, b, e.kind, e.name) for a, b, e in known] or [("", "", "", "")], "_src string, _tgt string, kind string, name string")
+    placed = near.where(~F.col("_tgt").isin(dead) & F.col("_src").isNotNull())
+    out = placed.join(edges, ["_src", "_tgt"]).select("record_id", "parent", "child", "pos", "kind", "name")
+    errors = tree.nodes.where(F.col("anchor").isin([v for v in src.roots() if v in dead])).select("record_id", F.lit("RootPruned").alias("reason"))
+    if ambiguous:
+        why = _pairs(spark, ambiguous, "_src string, _tgt string, reason string")
+        errors = errors.unionByName(placed.join(why, ["_src", "_tgt"]).select("record_id", "reason"))
+    errors = errors.distinct()
+    to = _pairs(spark, [(v, m.target(v)) for v in sorted(src.vertices)], "anchor string, to string")
+    kept = tree.nodes.where(~F.col("anchor").isin(dead))
+    nodes = transformed(kept.join(to, "anchor").withColumn("alive", F.lit(True)), m)
+    fans = restrict_fans(tree.fans, kept, m, errors.select("record_id").distinct()) if tree.fans is not None else None
+    if ambiguous or any(v in dead for v in src.roots()):
+        bad = errors.select("record_id").distinct()
+        nodes, out = nodes.join(bad, "record_id", "left_anti"), out.join(bad, "record_id", "left_anti")
+    gone = tree.nodes.where(F.col("anchor").isin(dead))
+    dropped = gone.join(near.select("record_id", F.col("child").alias("node_id"), F.when(F.col("_src").isNotNull(), F.col("parent")).alias("contracted_into")), KEY, "left")
+    lost = [(k, n) for (k, n), e in labels.items() if e.src in dead or e.tgt in dead]
+    hit = _pairs(spark, lost or [("", "")], "kind string, name string")
+    touched = tree.arcs.join(hit, [tree.arcs[c].eqNullSafe(hit[c]) for c in ("kind", "name")], "left_semi")
+    return Restricted(Tree(nodes, out, fans), errors, dropped, touched, kept)
+
+
+def restrict(tree: Tree, src: Schema, m: Compiled, valid: bool = False) -> Restricted:
     """Survivors, re-attached to their nearest surviving ancestor by the target's edge, with transforms applied.
 
-    Records whose root dies, or where no single edge fits, are reported and left out.
+    Records whose root dies, or where no single edge fits, are reported and left out. ``valid`` promises that the data
+    fit their schema (``validate`` finds nothing), which saves joins with the nodes where the schema alone decides.
     """
+    run, labels = dead_run(src, m), labels_of(src)
+    if valid and run is not None and labels is not None and not m.survival and src.depth() is not None:
+        return restrict_valid(tree, src, m, run, labels)
     spark = tree.nodes.sparkSession
     marked = survival(tree.nodes, m, sorted(src.vertices))
-    depth = src.depth()
-    near = nearest_alive(marked, tree.arcs, depth)
+    near = nearest_alive(marked, tree.arcs, run)
     kept = marked.where("alive")
     places = kept.select("record_id", F.col("node_id").alias("child"), F.col("to").alias("to_child"))
     parents = kept.select("record_id", F.col("node_id").alias("anc"), F.col("to").alias("to_parent"))
