@@ -130,7 +130,7 @@ def test_long_text_in_pieces(monkeypatch):
 
 def test_one_of_each_group_stays(spark, odd_rows, clashing):
     kept = op8_simhash.keep_one(clashing)
-    assert kept.columns == clashing.columns
+    assert kept.columns == clashing.columns and {r.fp for r in kept.collect()} == {"extra"}
     comp = brute_components(odd_rows)
     named = {c for _, _, c in comp if c is not None}
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(named)
@@ -206,7 +206,7 @@ def test_mixing_odd(spark, odd_rows, clashing, none):
     assert Counter(r.doc_id for r in got.where("epoch = 0").collect()) == Counter(r[0] for r in odd_rows)
     assert op7_mixing.mix(none).count() == 0
     again = op7_mixing.mixed_documents(clashing)
-    assert again.columns == clashing.columns
+    assert again.columns == clashing.columns and {r["_key"] for r in again.collect()} == {"extra"}
     assert Counter(r.doc_id for r in again.collect()) == Counter(r.doc_id for r in got.collect())
     assert op7_mixing.mixed_documents(none).count() == 0
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import chunks, drop_folder, new_folder, written
+from .base import chunks, drop_folder, new_folder, short_batches, written
 
 RADIUS = 2
 #: Distinct fingerprints of a bucket that one task solves by itself; larger buckets are dealt out.
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             fps = np.array([fingerprint(t or b"", shingle, seed) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return short_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -202,28 +202,28 @@ def connected(edges: DataFrame) -> DataFrame:
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("a").agg(F.min("b").alias("m"))
 
-    def step(e: DataFrame) -> tuple[DataFrame, str, tuple]:
+    def step(e: DataFrame) -> DataFrame:
         both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(e.select(F.col("v").alias("a"), F.col("u").alias("b")))
         m = least(both).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(m, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
         down = large.where("u > v").select(F.col("u").alias("a"), F.col("v").alias("b"))
         m2 = least(down)
-        small = down.join(m2, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(m2.select(F.col("a").alias("u"), F.col("m").alias("v"))).distinct()
-        path = new_folder(spark, "star")
-        small.write.parquet(path)
-        now = spark.read.schema("u long, v long").parquet(path)
-        total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.countDistinct("u")).first()
-        return now, path, tuple(total)
+        return down.join(m2, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(m2.select(F.col("a").alias("u"), F.col("m").alias("v"))).distinct()
+
+    def stars(e: DataFrame) -> bool:
+        """Does every node point to one smaller node that points nowhere?"""
+        n = e.agg(F.count("*"), F.countDistinct("u")).first()
+        return n[0] == n[1] and not e.join(e.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count()
 
-    now, path, was = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), None, None
+    now, path = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), None
     while True:
-        now, new_path, total = step(now)
-        if path:
-            drop_folder(spark, path)
-        path = new_path
-        if total == was:
+        last, path = path, new_folder(spark, "star")
+        (step(now) if last else now).write.parquet(path)
+        now = spark.read.schema("u long, v long").parquet(path)
+        if last:
+            drop_folder(spark, last)
+        if stars(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        was = total
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -242,32 +242,37 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Dropped ids that are broadcast at most (8 bytes each); beyond that the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps the document with the smallest doc_id.
 
-    Repeated rows of that doc_id count as one. Where a component has no doc_id at all, its first text stays.
+    Repeated rows of that doc_id count as one. Where a component has no doc_id at all, one of its texts stays.
     """
     found = written(near_duplicates(docs), "components")
-    ids = found.where("doc_id = component_id").groupBy("doc_id").count()
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    many = written(ids.where("count > 1").select("doc_id"), "repeated")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    ids = written(ids.where("not stays or n > 1"), "ids")
+    gone, many = ids.where("not stays").select("doc_id"), ids.where("stays").select("doc_id")
+    small = F.broadcast if gone.count() <= BROADCAST_IDS else lambda x: x
+    kept = docs.where("doc_id is not null").join(small(gone), "doc_id", "left_anti").select(docs.columns)
     if many.limit(1).count():
-        again = docs.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-        kept = kept.join(many, "doc_id", "left_anti").select(docs.columns).unionByName(again)
-    nameless = found.where("doc_id is null and component_id is null").select("fp", "root")
+        small = F.broadcast if many.count() <= BROADCAST_IDS else lambda x: x
+        again = kept.join(small(many), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+        kept = kept.join(small(many), "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    nameless = found.where("doc_id is null and component_id is null").select("fp", "root").distinct()
     if nameless.limit(1).count():
-        bare = docs.where("doc_id is null")
-        texts = bare.groupBy(*docs.columns).count().drop("count")
-        own = fingerprints_of_rows(texts).join(nameless.distinct(), "fp")
-        kept = kept.unionByName(own.dropDuplicates(["root"]).select(docs.columns))
+        own = fingerprints_of_rows(docs.where("doc_id is null")).join(nameless, "fp")
+        kept = kept.unionByName(own.dropDuplicates(["root"]).select("row.*"))
     return kept
 
 
 def fingerprints_of_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column fp."""
+    """``row`` (the columns of ``docs``) and fp."""
 
     @F.pandas_udf("long")
     def fp(texts):
         return texts.map(lambda t: signed(fingerprint((t or "").encode())))
 
-    return docs.withColumn("fp", fp(F.col("text")))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), fp(F.col("text").cast("string")).alias("fp"))
