@@ -101,16 +101,40 @@ def crc32_of(column: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Rows of an Arrow batch of texts at most: Spark's own default holds tens of megabytes on both sides, twice.
+BATCH_ROWS = 1000
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, after making its session send rows to Python in short batches."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def give_back() -> None:
+    """Return memory that a finished task leaves in the worker's allocators to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def chunks(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of at most ``rows`` rows, so that a worker's memory
     depends on that many documents and not on Arrow's batch size."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    give_back()
 
 
 #: Bytes of text that are encoded together, about.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
@@ -125,6 +149,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: i
             to = max(at + 1, int(ends.searchsorted(base + size, "right")))
             yield b.slice(at, to - at)
             at = to
+    give_back()
 
 
 def texts_of(column: pa.Array) -> list[str]:

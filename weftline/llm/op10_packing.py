@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import text_chunks, written
+from .base import short_batches, text_chunks, written
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -59,7 +59,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
             arrays.insert(1, pa.array([task] * len(out)))
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def plan(lengths: dict[int, int], capacity: int = CAPACITY, max_docs: int | None = None, max_attention: int | None = None, weights=(1.0, 1.0, 1.0), measure: str = "dot"):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import new_folder, text_chunks
+from .base import new_folder, short_batches, text_chunks
 from .tokens import encoder, tokenizer_path
 
 SEQUENCE = 2048
@@ -152,7 +152,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["shard", "ids_path", "docs_path", "n_docs", "n_tokens"])
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return dealt.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, crc32_of, first_by_hash
+from .base import chunks, crc32_of, first_by_hash, short_batches
 from .gbt import Trees, constant, fit
 
 #: Labelled documents that the model is fitted on at most.
@@ -62,6 +62,7 @@ def features(texts: list[str | None]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Trees:
     """Fit on the labelled documents whose crc32(doc_id) mod ``folds`` is not 0, ``sample`` of them at most."""
+    short_batches(docs)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"))
     known = known.where(crc32_of("doc_id") % folds != 0).select("doc_id", (F.col("q") >= 0.5).cast("int").alias("y"))
     known = first_by_hash(known, ["doc_id"], sample)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import PLACES, chunks, crc32_of, place_of
+from .base import PLACES, chunks, crc32_of, place_of, short_batches
 
 DIM = 512
 #: Documents of a language that are learnt from at most.
@@ -136,7 +136,7 @@ def profiles(dim: int = DIM) -> Profiles:
 
 def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 4, held_out: int = 2, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """The languages, and their prototypes as rows of unit length."""
-    known = docs.where("lang is not null and text is not null").where(crc32_of("doc_id") % folds != held_out)
+    known = short_batches(docs).where("lang is not null and text is not null").where(crc32_of("doc_id") % folds != held_out)
     ids = known.select("doc_id", "lang").withColumn("place", place_of("doc_id"))
     # Of a frequent language only places that about twice the sample stays below are sorted.
     sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))

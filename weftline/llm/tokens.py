@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces in each of the two generations that a worker remembers; those not met again go (results don't change).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 #: ASCII punctuation: after a plain word it is one pre-token.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space before white space or at the end: there the byte-level tokenizer may join spaces.
