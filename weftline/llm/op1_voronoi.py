@@ -193,7 +193,7 @@ def top_products(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     for dim in [r[0] for r in all_rows.select(F.size("v").alias("n")).distinct().collect()]:
         rows = all_rows.where(F.size("v") == dim)
         queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-        out = out.unionByName(knn_join(queries, distinct_vectors(rows, "v", "vec_id", k + 1), k))
+        out = out.unionByName(knn_join(queries, written(distinct_vectors(rows, "v", "vec_id", k + 1), "distinct"), k))
     return out
 
 

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import chunks, written
+from .base import chunks, first_by_hash, written
 from .op1_voronoi import _matrix, distinct_vectors, each, usable
 
 SAMPLE = 8192
 THRESHOLD = 0.2
 RERANK = 320
 SUB, CENTRES = 2, 16
-DATA_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 10
+DATA_BLOCK, QUERY_BLOCK = 1 << 13, 1 << 13
 
 
 class Quantiser:
@@ -120,7 +120,7 @@ def scan(quantiser: Quantiser, codes: np.ndarray, norms: np.ndarray, q: np.ndarr
 def index(rows: DataFrame, dim: int, sample: int = SAMPLE) -> tuple[Quantiser, DataFrame]:
     """The quantiser, and vec_id, v, code of every row of ``rows`` (vec_id, v array of double, all ``dim`` long)."""
     # A bounded sample, dealt by hash.
-    chosen = rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().column("v").combine_chunks()
+    chosen = first_by_hash(rows.select("vec_id", "v"), ["vec_id"], sample).toArrow().column("v").combine_chunks()
     quantiser = Quantiser(dim).fit(_matrix(chosen).astype(float)) if len(chosen) else Quantiser(dim)
 
     def encode(batches):
@@ -176,7 +176,7 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for dim in [r[0] for r in all_rows.select(F.size("v").alias("n")).distinct().collect()]:
         rows = all_rows.where(F.size("v") == dim)
-        quantiser, indexed = index(distinct_vectors(rows, "v", "vec_id", k + 1), dim)
+        quantiser, indexed = index(written(distinct_vectors(rows, "v", "vec_id", k + 1), "distinct"), dim)
         queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
         out = out.unionByName(search(quantiser, indexed, queries, k))
     return out
