@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import new_folder, short_batches, text_chunks
-from .tokens import encoder, tokenizer_path
+from .tokens import MORE_PIECES, encoder, tokenizer_path
 
 SEQUENCE = 2048
 #: Sequences in a record batch.
@@ -141,7 +141,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def run(batches):
         from pyspark import TaskContext
 
-        enc, writer, shard = encoder(tokenizer), None, TaskContext.get().partitionId()
+        enc, writer, shard = encoder(tokenizer, pieces=MORE_PIECES), None, TaskContext.get().partitionId()
         for b in text_chunks(batches):
             if writer is None:
                 writer = ShardWriter(f"{folder}/{shard:08d}-{uuid.uuid4().hex}", sequence, len(enc.id_bytes))

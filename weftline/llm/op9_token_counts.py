@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import chunks, short_batches, text_chunks, texts_of
-from .tokens import encoder, tokenizer_path
+from .tokens import MORE_PIECES, encoder, tokenizer_path
 
 RULES = ("first", "last", "majority")
 COLUMNS = "doc_id long, section int, char_start long, char_end long, n_tokens long, crossing long"
@@ -63,7 +63,7 @@ def section_counts(docs: DataFrame, tokenizer: str, rule: str = "majority") -> D
         raise ValueError(f"the rule is one of {RULES}")
 
     def run(batches):
-        enc = encoder(tokenizer, offsets=True)
+        enc = encoder(tokenizer, offsets=True, pieces=MORE_PIECES)
         for b in text_chunks(batches, size=1 << 21):
             texts = texts_of(b.column("text"))
             cols: list[list[np.ndarray]] = [[] for _ in range(5)]
@@ -91,7 +91,7 @@ def field_counts(rows: DataFrame, ident: list[str], fields: list[str], tokenizer
     names = [*ident, *(f"n_{f}" for f in fields)]
 
     def run(batches):
-        enc = encoder(tokenizer, offsets=True)
+        enc = encoder(tokenizer, offsets=True, pieces=MORE_PIECES)
         for b in chunks(batches, 128):
             parts = list(zip(*[texts_of(b.column(f"_f{i}")) for i in range(len(fields))], strict=True))
             texts = [separator.join(p) for p in parts]

@@ -21,7 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces in each of the two generations that a worker remembers; those not met again go (results don't change).
-CACHE_PIECES = 150_000
+#: A query that does nothing but encode may remember more.
+CACHE_PIECES, MORE_PIECES = 150_000, 300_000
 #: ASCII punctuation: after a plain word it is one pre-token.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space before white space or at the end: there the byte-level tokenizer may join spaces.
@@ -73,7 +74,7 @@ class PieceEncoder:
     ``offsets``: also keep the character spans of the tokens.
     """
 
-    def __init__(self, path: str, offsets: bool = False):
+    def __init__(self, path: str, offsets: bool = False, pieces: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -84,7 +85,7 @@ class PieceEncoder:
         self.lead = "" if self.drops_space else " "
         self.lead_letter = self.lead and chr(BYTE_LETTERS[ord(" ")])
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
-        self.offsets = offsets
+        self.offsets, self.pieces = offsets, pieces or CACHE_PIECES
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size(with_added_tokens=True) + 1)]
         self.direct = True
         self.direct = all(self._word(p)[0] == self._library(self.lead + p)[0] for p in ("Hello", "thntther", "été", "Straße", "A"))
@@ -155,10 +156,10 @@ class PieceEncoder:
         return self._join(((ids, (np.frombuffer(spans, "<i4") - len(self.lead)).astype("<i4").tobytes() if self.offsets else b""), 0))
 
     def _renew(self) -> None:
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > self.pieces:
             self.cache.old = {}
             self.cache = _Cache(self._learn, dict(self.cache))
-        if len(self.tails) > CACHE_PIECES:
+        if len(self.tails) > self.pieces:
             self.tails = {}
 
     def _whole(self, texts: pa.Array) -> np.ndarray:
@@ -249,8 +250,8 @@ def _as_texts(texts: list[str] | pa.Array) -> pa.Array:
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, offsets: bool = False) -> PieceEncoder:
+def encoder(path: str, offsets: bool = False, pieces: int | None = None) -> PieceEncoder:
     """The worker's own encoder for a tokenizer file; it lasts as long as the worker."""
     if (path, offsets) not in _ENCODERS:
-        _ENCODERS[path, offsets] = PieceEncoder(path, offsets)
+        _ENCODERS[path, offsets] = PieceEncoder(path, offsets, pieces)
     return _ENCODERS[path, offsets]
