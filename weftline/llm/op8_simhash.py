@@ -21,7 +21,7 @@ of only such rows has a null id); an empty table gives an empty result; other co
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -246,12 +246,18 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def text_fingerprint(text: bytes) -> int:
+    return signed(fingerprint(text))
+
+
+def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates, key: Callable[[bytes], int] = text_fingerprint) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps the document with the smallest doc_id.
 
+    ``find`` gives the components as ``near_duplicates`` does; ``key`` is its fp of a text.
+
     Repeated rows of that doc_id count as one. Where a component has no doc_id at all, one of its texts stays.
     """
-    found = written(near_duplicates(docs), "components")
+    found = written(find(docs), "components")
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
     ids = written(ids.where("not stays or n > 1"), "ids")
     gone, many = ids.where("not stays").select("doc_id"), ids.where("stays").select("doc_id")
@@ -263,16 +269,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
         kept = kept.join(small(many), "doc_id", "left_anti").select(docs.columns).unionByName(again)
     nameless = found.where("doc_id is null and component_id is null").select("fp", "root").distinct()
     if nameless.limit(1).count():
-        own = fingerprints_of_rows(docs.where("doc_id is null")).join(nameless, "fp")
+        own = fingerprints_of_rows(docs.where("doc_id is null"), key).join(nameless, "fp")
         kept = kept.unionByName(own.dropDuplicates(["root"]).select("row.*"))
     return kept
 
 
-def fingerprints_of_rows(docs: DataFrame) -> DataFrame:
+def fingerprints_of_rows(docs: DataFrame, key: Callable[[bytes], int] = text_fingerprint) -> DataFrame:
     """``row`` (the columns of ``docs``) and fp."""
 
     @F.pandas_udf("long")
     def fp(texts):
-        return texts.map(lambda t: signed(fingerprint((t or "").encode())))
+        return texts.map(lambda t: key((t or "").encode()))
 
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), fp(F.col("text").cast("string")).alias("fp"))
