@@ -188,6 +188,17 @@ def test_language_learns_from_its_folds_only(spark, odd):
     assert WORDS
 
 
+def test_language_learns_beside_null_ids(spark, odd):
+    """More rows without a doc_id than the sample holds, of many texts or of one, displace nothing."""
+    backward = lambda t: " ".join(w[::-1] for w in t.split())
+    for text in (lambda i: prose(12, i), lambda i: "12 34 !!"):
+        rows = [(None, text(i), "en", "s", 0) for i in range(120)] + [(i, prose(30, i), "en", "s", 0) for i in range(80)]
+        rows += [(1000 + i, backward(prose(30, i)), "xx", "s", 0) for i in range(80)]
+        docs = spark.createDataFrame(rows, odd.schema)
+        got = op6_language.identify(docs, *op6_language.train(docs, sample=50)).where("doc_id is not null").collect()
+        assert np.mean([r.lang_pred == ("en" if r.doc_id < 1000 else "xx") for r in got]) > 0.95
+
+
 def test_registered(spark, sf_dir):
     for name in ("op4_url_filter", "op5_quality", "op6_language"):
         assert registry.QUERIES[name](spark, sf_dir).count() > 0

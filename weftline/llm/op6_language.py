@@ -5,7 +5,7 @@ other characters count as one blank) bind to the product of their vectors, rotat
 no places, so that order matters. A document bundles its n-gram vectors, by frequency; a language's
 prototype bundles those of its documents, each of unit length. The prediction is the prototype with the largest cosine.
 
-Learning uses a bounded sample: of each language the ``SAMPLE`` documents that come first by hash.
+Learning uses a bounded sample: of each language the ``SAMPLE`` documents that come first by hash of the doc_id, or of the text where that is null.
 Whole texts are read; distinct n-grams are counted first, and their vectors are kept by the worker.
 
 Results for odd input: a text that is null or has no letter is ``und`` with score 0; a null lang is
@@ -137,15 +137,19 @@ def profiles(dim: int = DIM) -> Profiles:
 def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 4, held_out: int = 2, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """The languages, and their prototypes as rows of unit length."""
     known = short_batches(docs).where("lang is not null and text is not null").where(crc32_of("doc_id") % folds != held_out)
-    ids = known.select("doc_id", "lang").withColumn("place", place_of("doc_id"))
-    # Of a frequent language only places that about twice the sample stays below are sorted.
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))
+    # Without a doc_id the text gives the place: all such rows would share one otherwise.
+    known = known.select("doc_id", "lang", F.col("text").cast("string").alias("text")).withColumn("place", F.when(F.col("doc_id").isNull(), place_of("text")).otherwise(place_of("doc_id")))
+    ids = known.select("doc_id", "lang", "place")
+    # Of a frequent language only places that about twice the sample stays below are sorted; repeated rows count once.
+    sizes = ids.groupBy("lang").agg(F.approx_count_distinct("place").alias("size"))
     few = sizes.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
     ids = ids.join(F.broadcast(sizes) if few else sizes, "lang").where((F.col("size") <= 4 * sample) | (F.col("place") < F.lit(float(PLACES)) / F.col("size") * (2 * sample)))
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
+    chosen = ids.select("doc_id", "lang", "place").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
     # `sample` ids for each language: small enough to broadcast.
-    rows = known.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), F.col("place").alias("at")))
+    same = known.doc_id.eqNullSafe(chosen.id) & (known.lang == chosen.of) & (known.place == chosen["at"])
+    rows = known.join(chosen, same, "left_semi").select("lang", "text")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
