@@ -102,6 +102,20 @@ def test_nearest_recall_on_table(spark, tmp_path):
     assert all(abs(exact[q, i] - s) < 1e-12 for q, _, i, s in got if (q, i) in exact)
 
 
+@pytest.mark.parametrize("noise", [0.001, 0.01, 0.03])
+def test_nearest_in_a_dense_group(spark, noise):
+    """A third of the rows are near-copies that share their codes."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(4500, 64)) / 8
+    x[::3] = x[0] + r.normal(size=(1500, 64)) * noise
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = rows_of(op3_anisotropic.nearest(vectors(spark, rows)))
+    want = brute_nearest(rows)
+    dense = {q: d for q, d in want.items() if q % 3 == 0}
+    check_nearest([g for g in got if g[0] in dense], dense, 0.95)
+    check_nearest(got, want, 0.95)
+
+
 def test_ties_of_copies_go_to_small_ids(spark):
     r = np.random.default_rng(5)
     same = r.normal(size=8).tolist()

@@ -7,7 +7,10 @@ of the residual along x: it harms the products that matter, those of queries clo
 (d - 1) T^2 / (1 - T^2) times as much. The codebook is trained on a bounded sample (``SAMPLE`` vectors, dealt
 by hash); every vector is encoded. Two four-bit codes make a byte, so a scan adds one table entry per
 four components. Per block the best ``RERANK`` vectors of each query are measured exactly on
-the original vectors, and the blocks' nearest merge per query.
+the original vectors, and so is every other that could still beat the k-th of these: with r the residual of x,
+|q - x|^2 = |q|^2 + |x|^2 - 2 <q, c> - 2 <x, r> - 2 <q - x, r> for its code's vector c, and only the last term is not known;
+it is taken as ``ERRORS`` standard errors, |q - x| |r| / sqrt(d) each, and never as more than |q - x| |r|.
+So a dense group that shares its codes is measured whole. The blocks' nearest merge per query.
 
 Blocks have fixed sizes and are dealt by hash; equal vectors keep only the k + 1 smallest ids, which loses nothing.
 
@@ -30,6 +33,7 @@ from .op1_voronoi import _matrix, distinct_vectors, each, usable
 SAMPLE = 8192
 THRESHOLD = 0.2
 RERANK = 320
+ERRORS = 4.0
 SUB, CENTRES = 2, 16
 DATA_BLOCK, QUERY_BLOCK = 1 << 13, 1 << 13
 
@@ -98,6 +102,11 @@ class Quantiser:
         c = self.codes(x).astype(np.uint8)
         return c[:, 0::2] << 4 | c[:, 1::2]
 
+    def decoded(self, packed: np.ndarray) -> np.ndarray:
+        """The vectors (n x dim) that packed codes stand for."""
+        codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), self.m)
+        return self.books[np.arange(self.m), codes].reshape(len(packed), -1)[:, : self.dim]
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Per query and pair of subspaces the 256 partial products (n x m / 2 x 256)."""
         t = np.einsum("qjs,jcs->qjc", self._cut(q), self.books)
@@ -148,6 +157,8 @@ def search(quantiser: Quantiser, indexed: DataFrame, queries: DataFrame, k: int,
         ids, x = ids[order], _matrix(theirs.column("v").combine_chunks())[order]
         codes = np.frombuffer(b"".join(theirs.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
         q, q_ids, norms = _matrix(ours.column("v").combine_chunks()), ours.column("vec_id").to_numpy(), (x * x).sum(1)
+        rest = x - quantiser.decoded(codes)
+        along, spread = 2 * (x * rest).sum(1), 2 * min(1.0, ERRORS / np.sqrt(quantiser.dim)) * np.sqrt((rest * rest).sum(1))
         found = []
         for a in range(0, len(q), 64):
             near = scan(quantiser, codes, norms, q[a : a + 64])
@@ -157,6 +168,12 @@ def search(quantiser: Quantiser, indexed: DataFrame, queries: DataFrame, k: int,
                 limit = np.partition(row, rerank - 1)[rerank - 1] if len(row) > rerank else np.inf
                 some = np.flatnonzero((row <= limit) & (row < np.inf))
                 exact = np.sqrt(((x[some] - q[a + i]) ** 2).sum(1))
+                if limit < np.inf and len(exact) >= k:
+                    far = np.partition(exact, k - 1)[k - 1]
+                    could = row - along + (q[a + i] ** 2).sum() - spread * far <= far**2
+                    more = np.flatnonzero(could & (row > limit) & (row < np.inf))
+                    some = np.concatenate([some, more])
+                    exact = np.concatenate([exact, np.sqrt(((x[more] - q[a + i]) ** 2).sum(1))])
                 top = np.lexsort((ids[some], exact))[:k]
                 found.append((np.full(len(top), q_ids[a + i]), ids[some[top]], exact[top]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names)
