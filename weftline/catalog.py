@@ -15,6 +15,7 @@ from .plans import compare, lens_text
 from .plans.migration import Compiled, Migration, compile_migration, find_morphisms
 from .schema import OPEN, Edge, Schema, SchemaBuilder
 from .sources import languages, records
+from .storage import shared_dir
 from .versioning import Repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,12 +461,8 @@ def graph_reachable(spark, d):
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """A folder for checkpoints where the session has none, as in tests on one machine."""
-    sc = spark.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        import tempfile
-
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weftline-"))
+    """The session's checkpoint folder is set where only its configuration names one."""
+    shared_dir(spark)
 
 
 # Lenses -----------------------------------------------------------------------------------------
