@@ -1,10 +1,7 @@
-"""What the operators share: the cluster's shared folder, written intermediate tables and small helpers."""
+"""What the operators share: written intermediate tables, orders by hash, Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,60 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MADE: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a folder of our own is made and set as the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean_up() -> None:
-    for spark, path in _MADE:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended already
-            return
-
-
-atexit.register(_clean_up)
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; it goes when the driver's process ends."""
-    path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
-    return path
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by ``new_folder`` once nothing reads it any more."""
-    _delete(spark, path)
-    _MADE[:] = [x for x in _MADE if x[1] != path]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage is cut, and the rows
-    outlive any executor."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import Scratch, drop_folder, new_folder, shared_dir, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
