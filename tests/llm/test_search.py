@@ -37,21 +37,63 @@ def odd_vectors():
 
 
 def test_products_match_brute_force(spark, odd_vectors):
-    got = rows_of(op1_voronoi.top_products(vectors(spark, odd_vectors)))
+    got = rows_of(op1_voronoi.top_products(vectors(spark, odd_vectors)).drop("scored"))
     assert got == brute_products(odd_vectors)
 
 
-def test_products_beyond_doubles(spark):
-    rows = [(i, [float(2**40 + i * 2**20), float(3 * i)]) for i in range(60)]
-    got = rows_of(op1_voronoi.top_products(vectors(spark, [(i, [x / 2**20 for x in v]) for i, v in rows])))
-    assert got == brute_products([(i, [x / 2**20 for x in v]) for i, v in rows])
-
-
-def test_clusters_prune_and_stay_exact(spark):
+@pytest.mark.parametrize("how", [{}, {"data_block": 8, "query_block": 2}, {"pivots": 1}, {"pivots": 40, "data_block": 30}])
+def test_products_beyond_doubles(spark, how):
+    """Scores between 2**53 and 2**63, in clusters and spread out, in one block and in many."""
+    r = np.random.default_rng(4)
+    spread = [(i, [float(2**40 + i * 2**20), float(3 * i)]) for i in range(60)]
+    centres = r.integers(-(2**29), 2**29, (8, 4))
+    clusters = [(i, [float(x) for x in centres[i % 8] + r.integers(-9, 9, 4)]) for i in range(400)]
+    for rows, scale in ((spread, 2**20), (clusters, 256)):
+        rows = [(i, [x / scale for x in v]) for i, v in rows]
+        schema = "vec_id long, embedding array<double>"
+        got = rows_of(op1_voronoi.top_products(spark.createDataFrame(rows, schema), every=10, **how).drop("scored"))
+        cands = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+        want = []
+        for q, qv in cands[::10]:
+            s = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in cands if i != q)
+            want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s[:5])]
+        assert got == sorted(want, key=repr)
+
+
+def test_products_beyond_longs_are_an_error(spark):
+    for v in ([1e30, 1.0], [2.0**36, 0.0]):
+        with pytest.raises(op1_voronoi.ScoreOverflow):
+            op1_voronoi.top_products(spark.createDataFrame([(50, v), (51, v)], "vec_id long, embedding array<double>"))
+
+
+@pytest.mark.parametrize("how", [{}, {"data_block": 64, "query_block": 4}])
+def test_clusters_prune_and_stay_exact(spark, how):
     r = np.random.default_rng(3)
     centres = r.normal(size=(8, 6)) * 20
     rows = [(i, (centres[i % 8] + r.normal(size=6) * 0.01).tolist()) for i in range(800)]
-    assert rows_of(op1_voronoi.top_products(vectors(spark, rows))) == brute_products(rows)
+    found = op1_voronoi.top_products(vectors(spark, rows), **how).collect()
+    assert sorted(((x.query_id, x.rank, x.vec_id, x.score) for x in found), key=repr) == brute_products(rows)
+    scored = {x.query_id: x.scored for x in found}
+    assert sum(scored.values()) < 0.5 * len(scored) * len(rows), sum(scored.values()) / len(scored) / len(rows)
+
+
+def test_columns_with_names_of_our_own(spark, odd_vectors):
+    """Columns called as the operators call theirs change nothing."""
+    from pyspark.sql import functions as F
+
+    plain = vectors(spark, odd_vectors)
+    names = ["v", "cell", "dist", "code", "copy", "group", "b_q", "b_d", "salt", "bound", "n", "query_id", "rank", "score", "scored", "dim", "est", "err"]
+    more = plain.select("*", *[F.lit("extra").alias(n) for n in names])
+    assert rows_of(op1_voronoi.top_products(more).drop("scored")) == brute_products(odd_vectors)
+    assert rows_of(op3_anisotropic.nearest(more)) == rows_of(op3_anisotropic.nearest(plain))
+
+
+def test_many_lengths(spark):
+    """Lengths beyond those that get an index are scanned whole."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=1 + i % 14).tolist()) for i in range(2800)]
+    assert rows_of(op1_voronoi.top_products(vectors(spark, rows)).drop("scored")) == brute_products(rows)
+    check_nearest(rows_of(op3_anisotropic.nearest(vectors(spark, rows))), brute_nearest(rows), 0.95)
 
 
 def test_search_of_nothing(spark):
@@ -102,6 +144,38 @@ def test_nearest_recall_on_table(spark, tmp_path):
     assert all(abs(exact[q, i] - s) < 1e-12 for q, _, i, s in got if (q, i) in exact)
 
 
+@pytest.mark.parametrize("how", [{}, {"data_block": 3000, "query_block": 40}])
+def test_nearest_recall_over_blocks(spark, how):
+    """20 000 spread vectors and 10 000 in groups, in one block of codes and in ten; few are measured beyond the reranked."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(30_000, 32))
+    x[::3] = x[r.integers(0, 60, 10_000) * 3] + r.normal(size=(10_000, 32)) * 0.05
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for q, _, i, _ in rows_of(op3_anisotropic.nearest(df, **how)):
+        got.setdefault(q, set()).add(i)
+    hits = []
+    for q in ids[::100]:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits.append(len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist())) / 10)
+    assert np.mean(hits) >= 0.95 and np.mean(np.array(hits)[ids[::100] % 3 == 0]) >= 0.9
+
+
+def test_no_vector_in_the_scan(spark):
+    """The index holds codes and numbers, no vector."""
+    assert "array" not in op3_anisotropic.INDEX
+
+
+def test_nearest_of_huge_components(spark):
+    rows = [(i, [1e200 * (i % 7 + 1), float(i)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = rows_of(op3_anisotropic.nearest(df, k=3))
+    want = sorted((math.hypot(v[0] - rows[100][1][0], v[1] - 100.0), i) for i, v in rows if i != 100)[:3]
+    assert [(s, i) for q, _, i, s in got if q == 100] == [(pytest.approx(s), i) for s, i in want]
+
+
 @pytest.mark.parametrize("noise", [0.001, 0.01, 0.03])
 def test_nearest_in_a_dense_group(spark, noise):
     """A third of the rows are near-copies that share their codes."""
