@@ -10,6 +10,10 @@ from __future__ import annotations
 import numpy as np
 
 
+def _loss(total: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y > 0, -total, total)).mean())
+
+
 class Trees:
     """A fitted model: ``feature`` and ``threshold`` are trees x inner nodes, ``leaf`` is trees x leaves."""
 
@@ -17,15 +21,32 @@ class Trees:
         self.base, self.feature, self.threshold, self.leaf = base, feature, threshold, leaf
         self.depth = int(leaf.shape[1]).bit_length() - 1 if leaf.size else 0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """The probability of class 1 of each row."""
-        total = np.full(len(x), self.base)
+    def _steps(self, x: np.ndarray):
+        """What each tree adds to each row."""
         rows = np.arange(len(x))
         for t in range(len(self.leaf)):
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
                 node = 2 * node + 1 + (x[rows, self.feature[t, node]] > self.threshold[t, node])
-            total += self.leaf[t, node - (self.leaf.shape[1] - 1)]
+            yield self.leaf[t, node - (self.leaf.shape[1] - 1)]
+
+    def pruned(self, x: np.ndarray, y: np.ndarray) -> Trees:
+        """So many of the first trees as have the least loss on rows that were not learnt from; none, if none helps."""
+        if not len(y):
+            return self
+        total, losses = np.full(len(x), self.base), []
+        losses.append(_loss(total, y))
+        for step in self._steps(x):
+            total += step
+            losses.append(_loss(total, y))
+        n = int(np.argmin(losses))
+        return Trees(self.base, self.feature[:n], self.threshold[:n], self.leaf[:n])
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """The probability of class 1 of each row."""
+        total = np.full(len(x), self.base)
+        for step in self._steps(x):
+            total += step
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 

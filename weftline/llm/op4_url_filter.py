@@ -5,12 +5,13 @@ wins. Rules are one expression in the scan. What no rule decides, trees judge fr
 URL: lengths, depth, digit ratio, entropy, parameter counts, hyphens, and statistics of the host's
 suffixes (how often, and how often blocked, smoothed, in the labelled URLs of other folds).
 
-The query's labelled URLs: where a URL ends in the id of a labelled document, a toxic or low-quality
-document is a reason to block, and so is a host that holds a word of ``BAD_WORDS``. The sample is bounded
-by ``SAMPLE``, dealt by hash.
+The query's labelled URLs: where the path of a URL ends in the id of a labelled document, the URL takes its label, and a toxic or low-quality
+document is a reason to block. Only documents whose crc32 of the id as text, mod ``FOLDS``, is not 0 are learnt from; the others are held out.
+Nothing else, no list of words or hosts, says what is bad. The sample is bounded by ``SAMPLE``, dealt by hash.
 
 Results for odd input: a null url, or one without ``://``, has empty host and path, and the trees
 judge it like any other; without labelled URLs of both classes every such verdict is the only class there is, or allow;
+a document with several labels is bad if one of them is; of rules of one length that fit, the one that sorts last wins;
 null page_ids and repeated rows get a row each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -24,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, first_by_hash
+from .base import chunks, crc32_of, first_by_hash
 from .gbt import Trees, fit
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Labelled URLs that the model is fitted on at most.
 SAMPLE = 20_000
-BAD_WORDS = ("casino", "bets", "pills", "adult", "spam", "ads", "track")
+#: Labelled documents with crc32(doc_id) mod this 0 are held out.
+FOLDS = 5
 CUT = 0.5
 FEATURES = ["length", "host_length", "path_length", "query_length", "depth", "labels", "digits", "host_digits", "entropy", "host_entropy", "params", "hyphens", "marks", "vowels", "longest_run", "https", "fragment", "suffix1_n", "suffix1_rate", "suffix2_n", "suffix2_rate"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,7 +114,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Trees, Suffixes]:
     y = np.array([r.y for r in got], float)
     suffixes = Suffixes([r.host for r in got], y)
     x = np.array([lexical(r.url, r.host, r.path) + suffixes.of(r.host, i % Suffixes.FOLDS) for i, r in enumerate(got)], float).reshape(len(got), len(FEATURES))
-    return fit(x, y), suffixes
+    # A fifth of the sample says after how many trees there is nothing more to learn.
+    kept_back = np.arange(len(y)) % Suffixes.FOLDS == 0
+    model = fit(x[~kept_back], y[~kept_back])
+    return model.pruned(x[kept_back], y[kept_back]), suffixes
 
 
 def judge(pages: DataFrame, model: Trees, suffixes: Suffixes, rules=RULES, cut: float = CUT) -> DataFrame:
@@ -133,16 +138,15 @@ def judge(pages: DataFrame, model: Trees, suffixes: Suffixes, rules=RULES, cut:
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """url, y: see above."""
-    urls = pages.where("url is not null").select("url").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    bad = F.lit(False)
-    for w in BAD_WORDS:
-        bad = bad | F.col("host").contains(w)
-    urls = urls.withColumn("bad", bad).withColumn("doc_id", F.expr("try_cast(nullif(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1), '') as long)"))
-    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("mark"))
-    return urls.join(marks, "doc_id", "left").where("bad or mark is not null").select("url", F.when(F.col("bad"), 1).otherwise(F.col("mark")).alias("y"))
+    """url, doc_id and y (1: block) of the URLs whose path ends in a labelled document's id."""
+    ident = F.expr("try_cast(nullif(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1), '') as long)")
+    urls = pages.select(F.col("url").cast("string").alias("url")).where("url is not null").withColumn("path", path_of(F.col("url"))).select("url", ident.alias("doc_id")).where("doc_id is not null")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.coalesce("quality", "toxic").isNotNull(), 0)
+    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(bad).alias("y")).where("y is not null")
+    return urls.join(marks, "doc_id").select("url", "doc_id", "y")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
-    return judge(pages, *train(labelled_urls(pages, labels))).select("page_id", "host", "path", "rule", "verdict")
+    learnt = labelled_urls(pages, labels).where(crc32_of("doc_id") % FOLDS != 0)
+    return judge(pages, *train(learnt)).select("page_id", "host", "path", "rule", "verdict")
