@@ -7,9 +7,10 @@ values of a list lie at ``sequence * SEQUENCE`` in one buffer. Documents follow
 ending with the end id; only the last sequence of a shard is padded. A second Arrow file beside it
 lists the shard's documents (doc_id, start in the shard, n_tokens).
 
-Shards are range partitions by doc_id, so the texts are shuffled once. A task writes files under names of its own attempt and returns them;
-files of lost attempts are never listed. Paths go through ``pyarrow.fs``, which knows
-the same stores as the shared folder's URI.
+Shards are range partitions by doc_id, so the texts are shuffled once; there are as many as the number of documents needs, a doc_id with very many rows is dealt over
+several, and a file of ``SHARD_TOKENS`` tokens is followed by another, so neither a task nor a file grows with the table. A task writes
+files under names of its own attempt and returns them; files of lost attempts are never listed. The list of files stays a table, and a
+running sum over it says where each file's ids begin. Paths go through ``pyarrow.fs``, which knows the same stores as the shared folder's URI.
 
 Results for odd input: a null text is empty and holds just the end id; null doc_ids come first;
 rows with equal doc_ids follow each other by text; an empty table gives an empty result;
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .base import new_folder, short_batches, text_chunks
+from .base import TEXT_BYTES, new_folder, short_batches, text_chunks, written
 from .tokens import MORE_PIECES, encoder, tokenizer_path
 
 SEQUENCE = 2048
@@ -35,9 +37,11 @@ SEQUENCE = 2048
 BATCH = 512
 #: Documents that a shard holds at most, about; beyond, there are more shards.
 SHARD_DOCS = 20_000
-#: So many shards at most; beyond, they hold more documents each.
-MOST_SHARDS = 1 << 14
-SHARD_SCHEMA = "shard int, ids_path string, docs_path string, n_docs long, n_tokens long"
+#: Tokens of a file, about: beyond, a shard goes on in another.
+SHARD_TOKENS = 1 << 26
+#: Characters by which texts of one doc_id are dealt over shards.
+BEGINNING = 64
+SHARD_SCHEMA = "shard int, part int, ids_path string, docs_path string, n_docs long, n_tokens long"
 
 
 def _open(uri: str, mode: str):
@@ -130,42 +134,45 @@ def read_documents(ids_path: str, docs_path: str) -> Iterator[tuple[list, np.nda
         yield b.column("doc_id").to_pylist(), starts, [held[s - held_from : s - held_from + n] for s, n in zip(starts, counts, strict=True)]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, sequence: int = SEQUENCE, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) into shards under ``folder``; one row per shard: ``SHARD_SCHEMA``.
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, sequence: int = SEQUENCE, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Encode ``docs`` (doc_id, text) into files under ``folder``; one row per file: ``SHARD_SCHEMA``.
 
-    A shard is a range partition; ``shard`` ascends with doc_id.
+    A shard is a range partition; (``shard``, ``part``) ascends with doc_id.
     """
-    shards = min(MOST_SHARDS, max(1, -(-docs.select("doc_id").count() // shard_docs)))
+    shards = max(1, -(-docs.select("doc_id").count() // shard_docs))
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, writer, shard = encoder(tokenizer, pieces=MORE_PIECES), None, TaskContext.get().partitionId()
-        for b in text_chunks(batches):
+        enc, writer, part, shard = encoder(tokenizer, pieces=MORE_PIECES), None, 0, TaskContext.get().partitionId()
+
+        def finished(w: ShardWriter) -> pa.RecordBatch:
+            w.close()
+            row = [[shard], [part], [f"{w.uri}.arrow"], [f"{w.uri}.docs.arrow"], [w.n_docs], [w.n_tokens]]
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], [c.split()[0] for c in SHARD_SCHEMA.split(", ")])
+
+        for b in text_chunks(batches, size=min(TEXT_BYTES, 4 * shard_tokens)):
             if writer is None:
-                writer = ShardWriter(f"{folder}/{shard:08d}-{uuid.uuid4().hex}", sequence, len(enc.id_bytes))
+                writer = ShardWriter(f"{folder}/{shard:08d}-{part:04d}-{uuid.uuid4().hex}", sequence, len(enc.id_bytes))
             writer.add(b.column("doc_id").to_pylist(), [x + end for x in enc.encode(b.column("text"))])
+            if writer.n_tokens >= shard_tokens:
+                yield finished(writer)
+                writer, part = None, part + 1
         if writer:
-            writer.close()
-            row = [[shard], [f"{writer.uri}.arrow"], [f"{writer.uri}.docs.arrow"], [writer.n_docs], [writer.n_tokens]]
-            kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["shard", "ids_path", "docs_path", "n_docs", "n_tokens"])
+            yield finished(writer)
 
-    dealt = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return dealt.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA)
+    # Rows of one doc_id go on from shard to shard by how their texts begin.
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = dealt.repartitionByRange(shards, "doc_id", F.substring("text", 1, BEGINNING))
+    return dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA)
 
 
-def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_folder(spark, "token-files")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # One row per shard, and there are MOST_SHARDS at most.
-    shards = sorted(write_token_files(docs, f"{folder}/ids", tokenizer_path("byte_bpe_50k.json")).collect())
-    rows, base = [], 0
-    for s in shards:
-        rows.append((s.ids_path, s.docs_path, base))
-        base += s.n_tokens
-    listed = spark.createDataFrame(rows, "ids_path string, docs_path string, base long")
+def read_token_files(shards: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, read from the files listed in ``shards``."""
+    before = F.sum("n_tokens").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    listed = shards.select("ids_path", "docs_path", F.coalesce(before, F.lit(0)).alias("base"))
 
     def read(batches):
         for b in batches:
@@ -179,4 +186,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.repartition(max(1, len(rows))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(max(1, shards.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-files")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with short_batches(spark):
+        shards = written(write_token_files(docs, f"{folder}/ids", tokenizer_path("byte_bpe_50k.json")), "shards")
+    return read_token_files(shards)

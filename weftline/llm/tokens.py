@@ -7,7 +7,8 @@ worker, and a text's ids are looked up and joined. Where white space follows a s
 does not hold for the byte-level tokenizer, and the library encodes the whole text; so it does with
 texts that hold a special token's string. A piece of plain Latin letters and closing ASCII
 punctuation is two pre-tokens at most, and goes straight to the library's model.
-``tests/llm`` holds all this against the library's encoding of whole texts.
+``tests/llm`` holds all this against the library's encoding of whole texts, and a worker does so with some texts of each lot that it encodes: where
+they differ, as another tokenizer file might make them, it encodes whole texts from then on.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow.compute as pc
 #: Distinct pieces in each of the two generations that a worker remembers; those not met again go (results don't change).
 #: A query that does nothing but encode may remember more.
 CACHE_PIECES, MORE_PIECES = 150_000, 300_000
+#: Texts that the library encodes whole too, of each lot of texts, and tokens of such a text at most.
+CHECKED, CHECKED_TOKENS = 2, 4096
 #: ASCII punctuation: after a plain word it is one pre-token.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space before white space or at the end: there the byte-level tokenizer may join spaces.
@@ -87,7 +90,7 @@ class PieceEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.offsets, self.pieces = offsets, pieces or CACHE_PIECES
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size(with_added_tokens=True) + 1)]
-        self.direct = True
+        self.direct = self.by_pieces = True
         self.direct = all(self._word(p)[0] == self._library(self.lead + p)[0] for p in ("Hello", "thntther", "été", "Straße", "A"))
         self.tails: dict[str, tuple[bytes, bytes]] = {}
         self.cache = _Cache(self._learn, {})
@@ -164,6 +167,8 @@ class PieceEncoder:
 
     def _whole(self, texts: pa.Array) -> np.ndarray:
         """Which texts only the library can cut."""
+        if not self.by_pieces:
+            return np.ones(len(texts), bool)
         out = pa.array(np.zeros(len(texts), bool))
         for s in self.special:
             out = pc.or_(out, pc.match_substring(texts, s))
@@ -207,8 +212,18 @@ class PieceEncoder:
                 out.append(self._library(text)[0])
             else:
                 out.append(self._head(text)[0] + bytes(data[at[i] : at[i + 1]]))
+        if not self._agrees(texts, whole, out):
+            return self.encode(texts)
         return out
 
+    def _agrees(self, texts: pa.Array, whole: np.ndarray, ids: list[bytes]) -> bool:
+        """Do some of the texts give what the library gives for them whole? If not, pieces are given up for good, by this worker."""
+        some = [i for i in np.flatnonzero(~whole)[:: max(1, len(whole) // CHECKED)] if len(ids[i]) <= 4 * CHECKED_TOKENS][:CHECKED]
+        if all(self._library(texts[i].as_py())[0] == ids[i] for i in some):
+            return True
+        self.by_pieces = False
+        return False
+
     def _head(self, text: str) -> tuple[bytes, bytes]:
         if self.drops_space:
             return b"", b""
@@ -235,6 +250,8 @@ class PieceEncoder:
             more = slice(0, 0) if whole[i] else slice(at[i], at[i + 1])
             head_ids, head_spans = np.frombuffer(head[0], "<u4"), np.frombuffer(head[1], "<i4").reshape(-1, 2)
             out.append((np.concatenate([head_ids, flat_ids[more]]), np.concatenate([head_spans, moved[more]]).astype(np.int64)))
+        if not self._agrees(texts, whole, [x.astype("<u4").tobytes() for x, _ in out]):
+            return self.encode_spans(texts)
         return out
 
 
