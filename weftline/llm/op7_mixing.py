@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 from .base import written
 
 BLOCKS = 1024
+#: First digits of a hash that divide a block further.
+LEAD = 3
 GRID, ROUNDS = 32, 6
 MAX_REPEATS = 2.0
 SEED = "mix"
@@ -129,8 +131,14 @@ def schedule(narrow: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy
     cut = turned.where("epoch = full and upto > rest").groupBy("key").agg(F.min(F.struct("turn", "block", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room"))).alias("c")).select("key", "c.*")
     inside = narrow.withColumn("block", _block(F.col("doc_hash"), blocks)).join(cut, ["key", "block"])
     by_hash = inside.groupBy("key", "room", "doc_hash").agg(F.sum("n_tokens").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("key").orderBy("doc_hash"))
-    last = by_hash.withColumn("upto", upto).where("upto <= room").groupBy("key").agg(F.max("doc_hash").alias("cut_doc"))
+    by_hash = written(by_hash.withColumn("lead", F.substring("doc_hash", 1, LEAD)), "cut-block")
+    # Hashes in order, in two steps: sums by their first digits say where the room ends, and only those hashes are summed one by one.
+    by_lead = by_hash.groupBy("key", "room", "lead").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy("key").orderBy("lead")))
+    end = by_lead.where("upto > room").groupBy("key").agg(F.min(F.struct("lead", (F.col("upto") - F.col("n")).alias("before"))).alias("e")).select("key", F.col("e.lead").alias("end"), "e.before")
+    near_end = by_hash.join(end, "key")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("key").orderBy("doc_hash"))
+    at_end = near_end.where(F.col("lead") == F.col("end")).withColumn("upto", upto).where("upto <= room").select("key", "doc_hash")
+    last = near_end.where(F.col("lead") < F.col("end")).select("key", "doc_hash").unionByName(at_end).groupBy("key").agg(F.max("doc_hash").alias("cut_doc"))
     sources = sources.join(cut.select("key", F.col("turn").alias("cut_turn")), "key", "left").join(last, "key", "left")
     return written(sources.drop("p"), "sources"), turned.select("key", "block", "epoch", "place")
 
