@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from weftline.llm import op2_token_files, op9_token_counts, op10_packing, registry, tokens
+from weftline.llm import base, op2_token_files, op9_token_counts, op10_packing, registry, tokens
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
@@ -65,10 +65,32 @@ def brute_files(rows, name=FILES[0], end=0):
     return sorted(out, key=repr)
 
 
+def test_pieces_are_given_up_where_they_differ():
+    enc = tokens.PieceEncoder(tokens.tokenizer_path("byte_bpe_50k.json"), offsets=True)
+    texts = ["one two three", "four five", "six"]
+    want, spans = enc.encode(texts), enc.encode_spans(texts)
+    for word in ("two", "five"):
+        enc.cache[word] = enc.cache["three"]  # as a tokenizer would that joins words
+    assert enc.encode(texts) == want and not enc.by_pieces
+    assert all((a[1] == b[1]).all() for a, b in zip(enc.encode_spans(texts), spans, strict=True))
+
+
+def test_one_doc_id_over_several_shards(spark, tmp_path):
+    """A doc_id with a third of all rows, in several shards, and files that end early."""
+    rows = [(7, f"{i % 50} a") for i in range(300)] + [(i, f"text {i}") for i in range(600)] + [(None, None)] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    listed = op2_token_files.write_token_files(docs, f"file://{tmp_path}/ids", tokens.tokenizer_path("byte_bpe_50k.json"), 0, 64, 50, 20)
+    listed = base.written(listed, "shards")
+    assert listed.select("shard").distinct().count() > 5 and listed.where("part > 0").count() > 3
+    got = sorted(op2_token_files.read_token_files(listed).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+
+
 @pytest.mark.parametrize("shard_docs", [3, 1000])
 def test_token_files(spark, tmp_path, odd_rows, clashing, shard_docs, monkeypatch):
     monkeypatch.setattr(op2_token_files, "SHARD_DOCS", shard_docs)
-    monkeypatch.setattr(op2_token_files.write_token_files, "__defaults__", (0, 64, shard_docs))
+    monkeypatch.setattr(op2_token_files.write_token_files, "__defaults__", (0, 64, shard_docs, 1 << 26))
     d = write_tables(tmp_path, documents=clashing)
     got = op2_token_files.op2_token_files(spark, d)
     assert got.dtypes == [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,12 +50,19 @@ def crc32_of(column: str) -> F.Column:
 BATCH_ROWS = 1000
 
 
-def short_batches(df: DataFrame) -> DataFrame:
-    """``df``, after making its session send rows to Python in short batches."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
+@contextmanager
+def short_batches(spark: SparkSession):
+    """Within the block, jobs send rows to Python in short batches; afterwards the session is as it was."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        conf.set(key, before)
 
 
 def give_back() -> None:

@@ -17,10 +17,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, crc32_of, first_by_hash, short_batches
+from .base import chunks, crc32_of, first_by_hash, short_batches, written
 from .gbt import Trees, constant, fit
 
 #: Labelled documents that the model is fitted on at most.
@@ -62,7 +62,6 @@ def features(texts: list[str | None]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Trees:
     """Fit on the labelled documents whose crc32(doc_id) mod ``folds`` is not 0, ``sample`` of them at most."""
-    short_batches(docs)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"))
     known = known.where(crc32_of("doc_id") % folds != 0).select("doc_id", (F.col("q") >= 0.5).cast("int").alias("y"))
     known = first_by_hash(known, ["doc_id"], sample)
@@ -76,42 +75,41 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     # At most `sample` rows: broadcast on one side, collected on the other.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
     first = rows.mapInArrow(run, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.x", "r.y")
-    got = first.orderBy("doc_id").toArrow()
+    with short_batches(docs.sparkSession):
+        got = first.orderBy("doc_id").toArrow()
     if not got.num_rows:
         return constant(0.5)
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
     return fit(x, got.column("y").to_numpy())
 
 
-def score_documents(docs: DataFrame, model: Trees, ident: str = "doc_id") -> DataFrame:
-    """``ident`` and score of every row of ``docs``."""
+def score_of(text: Column, model: Trees) -> Column:
+    """The score of a text."""
 
-    def run(batches):
-        for b in chunks(batches):
-            s = model.score(features(b.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(ident), pa.array(s)], [ident, "score"])
+    @F.pandas_udf("double")
+    def score(texts):
+        import pandas as pd
 
-    return docs.select(F.col(ident).cast("long").alias(ident), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{ident} long, score double")
+        values, out = texts.tolist(), np.zeros(len(texts))
+        for at in range(0, len(values), 512):
+            out[at : at + 512] = model.score(features(values[at : at + 512]))
+        return pd.Series(out)
 
+    return score(text.cast("string"))
 
-def good_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``cut``."""
-    model = train(docs, labels)
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        out = np.zeros(len(texts), bool)
-        values = texts.tolist()
-        for at in range(0, len(values), 512):
-            out[at : at + 512] = model.score(features(values[at : at + 512])) >= cut
-        import pandas as pd
+def score_documents(docs: DataFrame, model: Trees, ident: str = "doc_id") -> DataFrame:
+    """``ident`` and score of every row of ``docs``."""
+    return docs.select(F.col(ident).cast("long").alias(ident), score_of(F.col("text"), model).alias("score"))
 
-        return pd.Series(out)
 
-    return docs.where(good(F.col("text").cast("string")))
+def good_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``cut``."""
+    return docs.where(score_of(F.col("text"), train(docs, labels)) >= cut)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = score_documents(docs, train(docs, labels))
+    with short_batches(spark):
+        scored = written(score_documents(docs, train(docs, labels)), "scores")
     return scored.select("doc_id", (crc32_of("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

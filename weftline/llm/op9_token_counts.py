@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, short_batches, text_chunks, texts_of
+from .base import chunks, short_batches, text_chunks, texts_of, written
 from .tokens import MORE_PIECES, encoder, tokenizer_path
 
 RULES = ("first", "last", "majority")
@@ -78,7 +78,7 @@ def section_counts(docs: DataFrame, tokenizer: str, rule: str = "majority") -> D
             section, *rest = (np.concatenate(c).astype(np.int64) for c in cols)
             yield pa.RecordBatch.from_arrays([ids, pa.array(section.astype(np.int32)), *map(pa.array, rest)], [x.split()[0] for x in COLUMNS.split(", ")])
 
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
 
 
 def field_counts(rows: DataFrame, ident: list[str], fields: list[str], tokenizer: str, separator: str = "\n", rule: str = "majority") -> DataFrame:
@@ -108,4 +108,6 @@ def field_counts(rows: DataFrame, ident: list[str], fields: list[str], tokenizer
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return section_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"))
+    counts = section_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"))
+    with short_batches(spark):
+        return written(counts, "token-counts")
