@@ -5,12 +5,16 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import prose, rows_of, write_tables
+from test_filters import walk
+from test_similar import brute
+from test_tokens import check_packing
 
 import corpus_pipeline
-from weftline.llm import op6_language, op7_mixing, op8_simhash, registry
+from weftline.llm import op5_quality, op6_language, op7_mixing, op8_simhash, registry
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -236,13 +240,42 @@ def test_pipeline_stages(spark, tmp_path, sf_dir):
             assert len(set(good) & set(ids)) >= 0.97 * len(good)
             assert not [d for d in ids if labels.get(d) == 0][3:]
         if name == "simhash_dedup":
-            comp = brute_components([(d, t) for d, t in was.items()])
-            assert sorted(ids) == sorted({c for *_, c in comp})
+            # The stage's definition: five-word shingles, similarity 0.8 or more, all pairs.
+            assert sorted(ids) == sorted({c for _, c in brute([(d, t) for d, t in was.items()])})
         if name == "mixing":
             assert set(ids) == set(was) and max(Counter(ids).values()) <= 2
     assert seen == [n for n, _ in corpus_pipeline.STAGES]
 
 
+def test_pipeline_brute_force(spark, sf_dir):
+    """The whole pipeline's rows, from plain versions of its five stages: one document, tree, pair and source at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    langs, prototypes, limits = op6_language.learn(docs)
+    seen = op6_language.Profiles()
+
+    def known(text):
+        low = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()) + " "
+        grams = Counter(zip(low, low[1:], low[2:], strict=False))
+        if not low.strip():
+            return False
+        v = sum(n * np.roll(seen.letter(ord(a)), 2).astype(int) * np.roll(seen.letter(ord(b)), 1) * seen.letter(ord(c)) for (a, b, c), n in grams.items())
+        best = max(float(v @ p) for p in prototypes) / np.linalg.norm(v)
+        return best >= np.interp(np.log(len(grams)), np.log(limits[0]), limits[1])
+
+    rows = [r for r in rows if known(r[1])]
+    model = op5_quality.train(spark.createDataFrame(rows, docs.schema), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = [r for r in rows if walk(model, op5_quality.statistics(r[1] or "")) >= 0.3]
+    stay = {c for _, c in brute([(r[0], r[1]) for r in rows])}
+    rows = [r for r in rows if r[0] in stay]
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([dict(zip(docs.columns, r, strict=True)) for r in rows]))
+    times = Counter(r[0] for r in con.execute(f"SELECT doc_id FROM ({op7_mixing.SQL})").fetchall())
+    text = {r[0]: r[1] for r in rows}
+    got = [tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()]
+    check_packing(got, [(d, text[d]) for d in times.elements()])
+
+
 def test_pipeline_runs_whole(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     rows = got.collect()
