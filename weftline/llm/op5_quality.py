@@ -86,14 +86,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
 def score_of(text: Column, model: Trees) -> Column:
     """The score of a text."""
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        values, out = texts.tolist(), np.zeros(len(texts))
-        for at in range(0, len(values), 512):
-            out[at : at + 512] = model.score(features(values[at : at + 512]))
-        return pd.Series(out)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts))
+        for at in range(0, len(texts), 512):
+            out[at : at + 512] = model.score(features(texts.slice(at, 512).to_pylist()))
+        return pa.array(out)
 
     return score(text.cast("string"))
 

@@ -262,19 +262,18 @@ def predict(texts: list[str | None], langs: list[str], prototypes: np.ndarray) -
 def judged(text: Column, langs: list[str], prototypes: np.ndarray, limits: np.ndarray | None = None) -> Column:
     """A struct for a text: lang, score, and whether it is ``known``: in a learnt language, as far as its length can tell."""
 
-    @F.pandas_udf("lang string, score double, known boolean")
-    def judge(texts):
-        import pandas as pd
-
-        values, out = [None if t is None else str(t) for t in texts], ([], [], [])
-        for at in range(0, len(values), 512):
-            said, score, size = predict(values[at : at + 512], langs, prototypes)
+    @F.arrow_udf("lang string, score double, known boolean")
+    def judge(texts: pa.Array) -> pa.Array:
+        out: tuple[list, list, list] = ([], [], [])
+        for at in range(0, len(texts), 512):
+            said, score, size = predict(texts.slice(at, 512).to_pylist(), langs, prototypes)
             known = np.array([s != "und" for s in said], bool)
             if limits is not None:
                 known &= score >= limit_at(size, limits)
             for x, y in zip(out, (said, score.tolist(), known.tolist()), strict=True):
                 x += y
-        return pd.DataFrame({"lang": pd.Series(out[0], dtype=object), "score": pd.Series(out[1], dtype=float), "known": pd.Series(out[2], dtype=bool)})
+        kinds = (pa.string(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["lang", "score", "known"])
 
     return judge(text.cast("string"))
 
