@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, crc32_of, first_by_hash, short_batches, written
+from .base import chunks, crc32_of, first_by_hash, give_back, short_batches, written
 from .gbt import Trees, constant, fit
 
 #: Labelled documents that the model is fitted on at most.
@@ -91,6 +91,7 @@ def score_of(text: Column, model: Trees) -> Column:
         out = np.zeros(len(texts))
         for at in range(0, len(texts), 512):
             out[at : at + 512] = model.score(features(texts.slice(at, 512).to_pylist()))
+        give_back()
         return pa.array(out)
 
     return score(text.cast("string"))

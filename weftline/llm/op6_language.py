@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import PLACES, Scratch, chunks, crc32_of, place_of, short_batches, written
+from .base import PLACES, Scratch, chunks, crc32_of, give_back, place_of, short_batches, written
 
 DIM = 512
 #: Documents of a language that are learnt from at most.
@@ -272,6 +272,7 @@ def judged(text: Column, langs: list[str], prototypes: np.ndarray, limits: np.nd
                 known &= score >= limit_at(size, limits)
             for x, y in zip(out, (said, score.tolist(), known.tolist()), strict=True):
                 x += y
+        give_back()
         kinds = (pa.string(), pa.float64(), pa.bool_())
         return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["lang", "score", "known"])
 
