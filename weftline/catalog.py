@@ -15,7 +15,7 @@ from .plans import compare, lens_text
 from .plans.migration import Compiled, Migration, compile_migration, find_morphisms
 from .schema import OPEN, Edge, Schema, SchemaBuilder
 from .sources import languages, records
-from .storage import shared_dir
+from .storage import new_folder, shared_dir
 from .versioning import Repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,9 +81,13 @@ def delta_many_to_one(spark, d):
     return relational.restrict(_party(spark, d), PARTY)["party"]
 
 
-@query_of("sigma_union", _PARTY_SQL)
+@query_of("sigma_union", f"""SELECT 'party' AS target, name, nation, balance, segment FROM ({_PARTY_SQL}) UNION ALL SELECT 'place', r_name, NULL, NULL, NULL FROM region""")
 def sigma_union(spark, d):
-    return relational.extend(_party(spark, d), PARTY)["party"]
+    """Every table goes somewhere: an unmapped one stays, and a target that nothing maps to is empty."""
+    m = Compiled(frozenset({"party", "empty"}), frozenset(), {"customer": "party", "supplier": "party", "region": "place"})
+    out = relational.extend({**_party(spark, d), "region": table(spark, d, "region").select(F.col("r_name").alias("name"))}, m)
+    targets = [out[t].withColumn("target", F.lit(t)) for t in ("party", "place", "empty")]
+    return relational.union_all(targets).select("target", "name", "nation", "balance", "segment")
 
 
 @query_of("pi_product", "SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name FROM nation, region")
@@ -113,9 +117,12 @@ def dangling_keys(spark, d):
     return relational.dangling(t["orders"], t["customer"].where("c_acctbal >= 0"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
-@query_of("row_ordinals", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS ordinal FROM orders")
+_LINE_ORDER = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
+
+
+@query_of("row_ordinals", f"SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY {', '.join(_LINE_ORDER)}) - 1 AS ordinal FROM lineitem")
 def row_ordinals(spark, d):
-    return relational.ordinals(table(spark, d, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", "ordinal")
+    return relational.ordinals(table(spark, d, "lineitem"), *_LINE_ORDER).select("l_orderkey", "l_linenumber", "l_extendedprice", "ordinal")
 
 
 @query_of("coverage", """SELECT count(*) AS total, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed,
@@ -210,9 +217,9 @@ def fn_strings(spark, d):
     return expressions(table(spark, d, "part"), ["p_partkey"], cat='p_name ++ "/" ++ p_brand', bytes="len p_name", mid="slice p_name 1 5", up="upper p_type", low="lower p_brand", trimmed='trim ("  " ++ p_name ++ "\\t")', first='head (split p_name " ")', dashed='join (split p_name " ") "-"', rep='replace p_name "a" "AA"', has='contains p_name "e"', cut="truncateStr p_type 5", words='length (split p_name " ")')
 
 
-@query_of("fn_unicode", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, substr(text, 11, 20) AS mid, upper(replace(substr(text, 1, 30), 'ß', 'SS')) AS up FROM documents")
+@query_of("fn_unicode", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, substr(text, 11, 20) AS mid, upper(replace(text, 'ß', 'SS')) AS up FROM documents")
 def fn_unicode(spark, d):
-    return expressions(table(spark, d, "documents"), ["doc_id"], bytes="len text", mid="slice text 10 30", up="upper (slice text 0 30)")
+    return expressions(table(spark, d, "documents"), ["doc_id"], bytes="len text", mid="slice text 10 30", up="upper text")
 
 
 @query_of("fn_lists", """SELECT o_custkey, list_sort(list_transform(list(o_orderkey), lambda x: x + 1)) AS mapped, list_sort(list_filter(list(o_orderkey), lambda x: x % 2 = 0)) AS evens, CAST(sum(o_orderkey) AS BIGINT) AS total,
@@ -368,10 +375,14 @@ def tree_extend(spark, d):
     return tree.extend(order_tree(spark, d), ORDER_TREE, m).arcs.select("record_id", "parent", "child", "kind")
 
 
-@query_of("tree_product", f"{_NODES} SELECT record_id, node_id, anchor FROM nodes")
+@query_of("tree_product", f"""{_NODES}, n AS (SELECT record_id, node_id, CASE anchor WHEN 'customer' THEN anchor ELSE 'money' END AS anchor FROM nodes)
+    SELECT record_id, node_id, anchor, (SELECT count(*) FROM lines l WHERE l.parent = n.node_id) AS below FROM n""")
 def tree_product(spark, d):
-    m = Compiled(frozenset(ORDER_TREE.vertices), ORDER_TREE.edges, {v: v for v in ORDER_TREE.vertices})
-    return tree.product(order_tree(spark, d), ORDER_TREE, m, max_size=10**12).nodes.select("record_id", "node_id", "anchor")
+    """Two anchors become one; their arcs go with them."""
+    m = Compiled(frozenset({"customer", "money"}), frozenset({Edge("customer", "money", "places", "orders"), Edge("money", "money", "holds", "items")}), {"customer": "customer", "orders": "money", "lineitem": "money"})
+    out = tree.product(order_tree(spark, d), ORDER_TREE, m, max_size=10**12)
+    below = out.arcs.where("kind = 'holds'").groupBy("record_id", F.col("parent").alias("node_id")).agg(F.count("*").alias("below"))
+    return out.nodes.join(below, ["record_id", "node_id"], "left").select("record_id", "node_id", "anchor", F.coalesce("below", F.lit(0)).alias("below"))
 
 
 @query_of("tree_section", f"""{_NODES}, top AS (SELECT record_id, max(CASE WHEN anchor <> 'orders' THEN node_id END) AS t FROM nodes GROUP BY record_id)
@@ -418,9 +429,13 @@ def fiber_at_node(spark, d):
     return fibers.at_node(tree.restrict(order_tree(spark, d), ORDER_TREE, CONTRACT, valid=True), 0)
 
 
-@query_of("fiber_group_by", f"WITH {_LINES} SELECT 'money' AS fiber, count(*) AS arcs FROM lines")
+@query_of("fiber_group_by", f"""{_NODES} SELECT 'arc' AS what, 'money' AS fiber, o_custkey AS record_id, parent, node_id AS id FROM lines
+    UNION ALL SELECT 'node', CASE anchor WHEN 'customer' THEN 'doc' ELSE 'money' END, record_id, NULL, node_id FROM nodes""")
 def fiber_group_by(spark, d):
-    return fibers.group_by(order_tree(spark, d), FIBER)[1].groupBy("fiber").agg(F.count("*").alias("arcs"))
+    """The sub-instance of every fiber: its nodes, and the arcs inside it."""
+    nodes, arcs = fibers.group_by(order_tree(spark, d), FIBER)
+    arcs = arcs.select(F.lit("arc").alias("what"), "fiber", "record_id", "parent", F.col("child").alias("id"))
+    return arcs.unionByName(nodes.select(F.lit("node").alias("what"), "fiber", "record_id", F.lit(None).cast("bigint").alias("parent"), F.col("node_id").alias("id")))
 
 
 @query_of("fiber_join", f"{_NODES} SELECT a.record_id, 'x' AS fiber, a.node_id AS left_id, b.node_id AS right_id FROM nodes a JOIN nodes b ON a.record_id = b.record_id WHERE a.anchor = 'customer' AND b.anchor = 'orders'")
@@ -453,11 +468,11 @@ def graph_extend(spark, d):
     return graph.extend(place_graph(spark, d), LAND).vertices
 
 
-@query_of("graph_reachable", "SELECT c_nationkey::BIGINT + 1000 AS id FROM customer WHERE c_custkey < 10 UNION SELECT n_regionkey::BIGINT FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 10 UNION SELECT c_custkey + 100000 FROM customer WHERE c_custkey < 10")
+@query_of("graph_reachable", "SELECT c_nationkey::BIGINT + 1000 AS id FROM customer UNION SELECT n_regionkey::BIGINT FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT c_custkey + 100000 FROM customer")
 def graph_reachable(spark, d):
     _checkpoints(spark)
     g = place_graph(spark, d)
-    return graph.reachable(g, g.vertices.where("id >= 100000 and id < 100010"))
+    return graph.reachable(g, g.vertices.where("anchor = 'customer'"))
 
 
 def _checkpoints(spark: SparkSession) -> None:
@@ -698,6 +713,39 @@ def json_sink(spark, d):
     return records.emit_json(df, rest=None).select("n_nationkey", "json")
 
 
+@query_of("json_roundtrip_rest", """SELECT event_id, json_object('id', event_id, 'k', k, 'n', value, 't', k, 'u', 'true', 'v', 'null', 'w', json_object('x', [1, 2]), 'z', event_type)::VARCHAR AS json
+    FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, value, event_type FROM events) WHERE value <> floor(value)""")
+def json_roundtrip_rest(spark, d):
+    """Keys that the schema lacks go through as they are: texts that look like numbers, literals or objects stay texts."""
+    e = table(spark, d, "events").where("value <> floor(value)").withColumn("k", F.get_json_object("props", "$.k"))
+    text = F.to_json(F.struct(F.col("event_id").alias("id"), "k", F.col("value").alias("n"), F.col("k").alias("t"), F.lit("true").alias("u"), F.lit("null").alias("v"), F.struct(F.array(F.lit(1), F.lit(2)).alias("x")).alias("w"), F.col("event_type").alias("z")))
+    s = SchemaBuilder(OPEN).vertex("e", "object").vertex("e.k", "string").vertex("e.id", "integer").edge("e", "e.k", "prop", "k").edge("e", "e.id", "prop", "id").build()
+    return records.emit_json(records.parse_json(e.withColumn("text", text), "text", s, "e")).select("event_id", "json")
+
+
+@query_of("table_file_scan", """SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, CASE WHEN n_regionkey > 2 THEN 'extra' END AS col_2, NULL::VARCHAR AS col_3 FROM nation
+    UNION ALL SELECT 'key', 'name', NULL, NULL FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'a', 'b', 'c', '' """)
+def table_file_scan(spark, d):
+    """A file written and read: comments and blank lines go, rows that equal the header stay, fields beyond the header have names of their own."""
+    n = table(spark, d, "nation")
+    plain = n.select("n_nationkey", F.lit(0).alias("o"), F.concat_ws("\t", F.col("n_nationkey").cast("string"), "n_name", F.when(F.col("n_regionkey") > 2, "extra")).alias("value"))
+    again = n.where("n_regionkey = 0").select("n_nationkey", F.lit(1).alias("o"), F.lit("key\tname").alias("value"))
+    head = spark.createDataFrame([(-3, 0, "# a comment"), (-2, 0, ""), (-1, 0, "key\tname"), (-1, 1, "a\tb\tc\t")], "n_nationkey int, o int, value string")
+    path = new_folder(spark, "delimited")
+    plain.unionByName(again).unionByName(head).coalesce(1).sortWithinPartitions("n_nationkey", "o").select("value").write.text(path)
+    return records.read_table(spark, path).select("key", "name", "col_2", "col_3")
+
+
+@query_of("merge_null_keys", """SELECT nullif(n_nationkey, 3) AS k, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'ours' WHEN n_nationkey % 3 = 0 THEN 'theirs' ELSE 'base' END AS fate_
+    FROM nation WHERE n_nationkey % 6 <> 0 UNION ALL SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 0 THEN n_name END, 'conflict' FROM nation WHERE n_nationkey % 6 = 0""")
+def merge_null_keys(spark, d):
+    """A null key is a key; the added columns take names that the table does not have."""
+    base = table(spark, d, "nation").select(F.expr("nullif(n_nationkey, 3)").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("fate"), F.col("n_nationkey").alias("n"))
+    ours = base.withColumn("fate", F.when(F.col("n") % 2 == 0, -1).otherwise(F.col("fate")))
+    theirs = base.withColumn("fate", F.when(F.col("n") % 3 == 0, -2).otherwise(F.col("fate")))
+    return merge.three_way_merge(base, ours, theirs, ["k"], ("kept_", "fate_", "conflict_")).select("k", "name", "fate_")
+
+
 @query_of("json_to_tree", """SELECT event_id AS record_id, 'props' AS anchor, NULL::VARCHAR AS value FROM events UNION ALL SELECT event_id, 'props.k', CAST(json_extract(props, '$.k') AS VARCHAR) FROM events WHERE json_extract(props, '$.k') IS NOT NULL""")
 def json_to_tree(spark, d):
     df = records.parse_json(table(spark, d, "events"), "props", PROPS, "props").withColumn("record_id", F.col("event_id"))
@@ -722,6 +770,19 @@ def table_scan(spark, d):
     return records.split_table(lines, ["a", "b", "c"], "\t")
 
 
+@query_of("conllu_tokens", """WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sent FROM documents),
+    w AS (SELECT doc_id, sent, list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM s),
+    k AS (SELECT doc_id, sent, ws, row_number() OVER (PARTITION BY doc_id ORDER BY sent) - 1 AS sent_idx FROM w)
+    SELECT doc_id, sent_idx, CAST(sent AS VARCHAR) AS sent_id, len(ws) AS words, CASE WHEN len(ws) > 0 THEN array_to_string(ws, ' ') END AS forms FROM k""")
+def conllu_tokens(spark, d):
+    """Forms in order and metadata (of a repeated key the last) of every sentence, after writing and reading."""
+    sents, toks = records.sentences_of(table(spark, d, "documents").select("doc_id", "text"))
+    text = records.emit_conllu(sents, toks).withColumn("text", F.regexp_replace("text", "(?m)^# sent_id = ", "# sent_id = x\n# sent_id = "))
+    sents, toks = records.parse_conllu(text)
+    forms = toks.groupBy("doc_id", "sent_idx").agg(F.count("*").alias("words"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("token_idx", "FORM"))), lambda x: x["FORM"]), " ").alias("forms"))
+    return sents.select("doc_id", "sent_idx", F.col("metadata")["sent_id"].alias("sent_id")).join(forms, ["doc_id", "sent_idx"], "left").select("doc_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), "sent_id", F.coalesce("words", F.lit(0)).alias("words"), "forms")
+
+
 @query_of("conllu_roundtrip", """SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS words FROM documents WHERE len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) > 0""")
 def conllu_roundtrip(spark, d):
     sents, toks = records.sentences_of(table(spark, d, "documents").select("doc_id", "text"))

@@ -5,23 +5,31 @@ The slow path: use it only where ``compile_expr`` raises ``Unsupported``.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from .evaluate import ExprError, evaluate
 from .syntax import free_names
 
 
 def interpreted(e, columns: list[str], returns: str) -> Column:
-    """The value of a tree per row, null where it has none."""
+    """The value of a tree per row, null where it has none. A batch crosses to Python once, as Arrow columns."""
     used = sorted(free_names(e) & set(columns))
+    kind = to_arrow_type(_parse_datatype_string(returns))
 
-    @F.udf(returns, useArrow=True)
-    def run(row):
-        env = row.asDict(recursive=True) if row is not None else {}
+    def value(env: dict):
         try:
             return evaluate(e, env)
         except (ExprError, RecursionError):
             return None
 
-    return run(F.struct(*[F.col(c) for c in used]) if used else F.struct(F.lit(1).alias("_")))
+    @F.arrow_udf(returns)
+    def run(rows: pa.Array) -> pa.Array:
+        parts = [rows.field(c).to_pylist() for c in used]
+        found = (value(dict(zip(used, r, strict=True))) for r in zip(*parts, strict=True)) if used else (value({}) for _ in range(len(rows)))
+        return pa.array(list(found), kind)
+
+    return run(F.struct(*[F.col(f"`{c}`") for c in used]) if used else F.struct(F.lit(1).alias("_")))

@@ -22,31 +22,40 @@ class TableResult:
 
 
 def apply_table_edits(table: DataFrame, key: str, log: DataFrame) -> TableResult:
-    """``log``: seq, op (insert, update, delete), the key, and the table's other columns (null in an update: unchanged).
+    """``log``: seq, op (insert, update, delete), the key, and the table's other columns (null in an update: unchanged, unless
+    an array column ``set_null`` names the column).
 
-    For tables with one row per key. A delete or update of a key without a row is an error and changes nothing, as is
-    an insert of one that exists. Each key's edits fold in order as arrays of structs: no pass per edit.
+    For tables with one row per key (a null key is a key). A delete or update of a key without a row is an error and changes nothing, as is
+    an insert of one that exists; so is an unknown op. Edits with one seq go by op.
+
+    Keys without edits are left alone. Whether a row is there before an edit is the last insert or delete before it, and a column's value is the
+    last one given since the row's last insert: running windows and one aggregation, so that a key with very many edits is sorted but never held as a list.
     """
     values = [c for c in table.columns if c != key]
-    edit = F.struct("seq", "op", F.struct(*values).alias("row"))
-    per = log.groupBy(key).agg(F.sort_array(F.collect_list(edit)).alias("_edits"))
-    row_type = table.select(F.struct(*values).alias("row")).schema["row"].dataType
-    state = T.StructType([T.StructField("row", row_type), T.StructField("bad", T.ArrayType(T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("reason", T.StringType())])))])
-    j = table.select(key, F.struct(*values).alias("_row")).join(per, key, "full")
-    start = F.struct(F.col("_row").alias("row"), F.array().alias("bad")).cast(state)
-
-    def step(acc, e):
-        there = acc["row"].isNotNull()
-        new = F.struct(*[F.coalesce(e["row"][c], acc["row"][c]).alias(c) for c in values])
-        row = F.when(e["op"] == "delete", F.lit(None)).when((e["op"] == "insert") & ~there, e["row"].cast(row_type)).when((e["op"] == "update") & there, new.cast(row_type)).otherwise(acc["row"])
-        why = F.when(~there & e["op"].isin("delete", "update"), "RowNotFound").when(there & (e["op"] == "insert"), "DuplicateKey").when(~e["op"].isin("insert", "update", "delete"), "ApplyFailed")
-        bad = F.when(why.isNotNull(), F.concat(acc["bad"], F.array(F.struct(e["seq"].cast("long").alias("seq"), e["op"].alias("op"), why.alias("reason"))))).otherwise(acc["bad"])
-        return F.struct(row.alias("row"), bad.alias("bad")).cast(state)
-
-    done = j.select(key, F.aggregate(F.coalesce("_edits", F.array().cast(j.schema["_edits"].dataType)), start, step).alias("s"))
-    rows = done.where("s.row is not null").select(key, "s.row.*").select(table.columns)
-    errors = done.select(key, F.explode("s.bad").alias("e")).select("e.seq", "e.op", F.col(key).alias("key"), "e.reason")
-    return TableResult(rows, errors)
+    col = lambda c: F.col(f"`{c}`")
+    nulls = F.col("set_null") if "set_null" in log.columns and "set_null" not in values else F.lit(None).cast("array<string>")
+    kinds = {f.name: f.dataType for f in table.schema.fields}
+    edits = log.select(col(key).cast(kinds[key]).alias("k"), F.lit(1).alias("late"), F.col("seq").cast("long").alias("seq"), F.col("op"), nulls.alias("to_null"), F.struct(*[col(c).cast(kinds[c]).alias(c) for c in values]).alias("row"))
+    touched = edits.select("k").distinct()
+    rows = table.select(col(key).alias("k"), F.lit(0).alias("late"), F.lit(None).cast("long").alias("seq"), F.lit("row").alias("op"), F.lit(None).cast("array<string>").alias("to_null"), F.struct(*[col(c) for c in values]).alias("row"))
+    mine = rows.alias("r").join(touched.alias("t"), F.col("r.k").eqNullSafe(F.col("t.k")), "left_semi")
+    w = Window.partitionBy("k").orderBy("late", "seq", "op")
+    turn = F.when((F.col("late") == 0) | (F.col("op") == "insert"), True).when(F.col("op") == "delete", False)
+    all_ = mine.unionByName(edits).withColumn("turn", turn)
+    there = F.coalesce(F.last("turn", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    seen = all_.withColumn("there", there)
+    starts = (F.col("late") == 0) | ((F.col("op") == "insert") & ~F.col("there"))
+    seen = seen.withColumn("starts", starts).withColumn("life", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct("life", "late", "seq", "op")
+    given = {c: F.col("starts") | ((F.col("op") == "update") & F.col("there") & (F.col("row").getField(c).isNotNull() | F.coalesce(F.array_contains("to_null", c), F.lit(False)))) for c in values}
+    # A life begins with a row, so the latest place that gives a column lies in the last life.
+    last = [F.max_by(F.struct(F.when(F.col("starts") | ~F.coalesce(F.array_contains("to_null", c), F.lit(False)), F.col("row").getField(c)).alias("v")), F.when(given[c], place)).alias(f"v{i}") for i, c in enumerate(values)]
+    done = seen.groupBy("k").agg(F.max_by("turn", F.when(F.col("turn").isNotNull(), F.struct("late", "seq", "op"))).alias("stays"), *last)
+    folded = done.where("stays").select(F.col("k").alias(key), *[F.col(f"v{i}.v").alias(c) for i, c in enumerate(values)]).select(*[col(c) for c in table.columns])
+    same = table.join(touched.withColumnRenamed("k", "_edited_key"), col(key).eqNullSafe(F.col("_edited_key")), "left_anti")
+    why = F.when(F.col("op").isin("delete", "update") & ~F.col("there"), "RowNotFound").when((F.col("op") == "insert") & F.col("there"), "DuplicateKey").when(~F.col("op").isin("insert", "update", "delete") | F.col("op").isNull(), "ApplyFailed")
+    errors = seen.where("late = 1").withColumn("reason", why).where("reason is not null").select("seq", "op", F.col("k").alias("key"), "reason")
+    return TableResult(same.unionByName(folded), errors)
 
 
 def insert_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -59,10 +68,12 @@ def delete_rows(table: DataFrame, key: str, values: DataFrame) -> DataFrame:
 
 
 def update_cell(table: DataFrame, key: str, value, column: str, new, order) -> DataFrame:
-    """The first row of the key, by ``order``, gets a new cell."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    hit = (F.col(key) == F.lit(value)) & (F.col("_n") == 1)
-    return table.withColumn("_n", first).withColumn(column, F.when(hit, F.lit(new)).otherwise(F.col(column))).drop("_n")
+    """The first row of the key, by ``order`` (then by all columns), gets a new cell; of equal rows one. Only the key's rows are sorted or grouped."""
+    hit = F.col(f"`{key}`").eqNullSafe(F.lit(value))
+    mine = table.where(hit)
+    first = mine.orderBy(order, *[F.col(f"`{c}`") for c in table.columns]).limit(1)
+    changed = first.withColumn(column, F.lit(new).cast(table.schema[column].dataType)).select(*[F.col(f"`{c}`") for c in table.columns])
+    return table.where(~hit).unionByName(mine.exceptAll(first)).unionByName(changed)
 
 
 EDIT_SCHEMA = "record_id long, seq long, op string, node long, parent long, kind string, name string, anchor string, field string, value string, joined array<long>"

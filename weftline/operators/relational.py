@@ -10,8 +10,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.migration import Compiled
+from ..storage import written
 from .transforms import select
 
 Tables = dict[str, DataFrame]
@@ -67,17 +69,16 @@ def extend(tables: Tables, m: Compiled) -> Tables:
     return out
 
 
-def ordinals(df: DataFrame, *order) -> DataFrame:
-    """Row numbers from 0 by ``order``, for callers that need positions: per-partition counts, no single task."""
-    ranked = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
-    part, row = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r.p: r.n for r in ranked.groupBy(part.alias("p")).count().withColumnRenamed("count", "n").collect()}
-    at, base = 0, []
-    for p in sorted(counts):
-        base.append((int(p), at))
-        at += counts[p]
-    starts = df.sparkSession.createDataFrame(base, "p long, base long")
-    return ranked.withColumn("p", part).join(F.broadcast(starts), "p").withColumn("ordinal", F.col("base") + row).drop("p", "base", "_at")
+def ordinals(df: DataFrame, *order, name: str = "ordinal") -> DataFrame:
+    """``df`` with row numbers from 0 by ``order`` under ``name`` (a column of that name is replaced): per-partition counts, no single task.
+
+    The sorted rows are written once, so that counting and numbering see the same partitions. Ties are numbered in some order.
+    """
+    at, kept = F.monotonically_increasing_id(), [F.col(f"`{c}`") for c in df.columns if c != name]
+    ranked = written(df.orderBy(*order).select(F.struct(*kept).alias("row"), F.shiftrightunsigned(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "sorted")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    starts = ranked.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    return ranked.join(F.broadcast(starts), "part").select("row.*", (F.col("base") + F.col("place")).alias(name))
 
 
 def product(tables: Tables, m: Compiled, max_size: int = 1_000_000, strict: bool = False) -> Tables:

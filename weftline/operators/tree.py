@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import Typed, predicate
 from ..plans.migration import Compiled
 from ..schema import Schema
+from ..storage import shared_dir
 from .transforms import apply, environment, of_columns, tree_of
 
 KEY = ["record_id", "node_id"]
@@ -110,6 +111,32 @@ def labels_of(src: Schema) -> dict | None:
     return out if len(out) == len(src.edges) else None
 
 
+def climbed(arcs: DataFrame, dead: list[str], run: int) -> DataFrame:
+    """``arcs`` (record_id, parent, child, pos, _src, _tgt) moved up to the nearest parent that lives; _src and parent are null above a dead root.
+
+    ``run`` dead vertices may follow each other at most. Up to two are climbed in the plan, each by a join of the arcs that
+    need it; longer runs by pointer doubling on checkpointed tables: log2(run) jobs, and a plan of one size.
+    """
+    needs = F.col("_src").isin(dead)
+
+    def jump(near: DataFrame, steps: DataFrame) -> DataFrame:
+        above = steps.select("record_id", F.col("child").alias("parent"), F.col("parent").alias("_p"), F.col("_src").alias("_s"))
+        up = near.where(needs).join(above, ["record_id", "parent"], "left").select("record_id", F.col("_p").alias("parent"), "child", "pos", F.col("_s").alias("_src"), "_tgt")
+        return near.where(~needs | F.col("_src").isNull()).unionByName(up)
+
+    if run > 2:
+        shared_dir(arcs.sparkSession)
+        near = arcs.checkpoint()
+        reach = 1
+        while reach <= run:  # an arc whose parent lives stays, so jumps over jumps reach twice as far
+            near, reach = jump(near, near).checkpoint(), reach * 2
+        return near
+    near = arcs
+    for _ in range(run):
+        near = jump(near, arcs)
+    return near
+
+
 def restrict_valid(tree: Tree, src: Schema, m: Compiled, run: int, labels: dict) -> Restricted:
     """``restrict`` of data that fit their schema, where nobody's survival depends on values.
 
@@ -120,12 +147,7 @@ def restrict_valid(tree: Tree, src: Schema, m: Compiled, run: int, labels: dict)
     names = _pairs(spark, [(k, n, e.src, e.tgt) for (k, n), e in labels.items()] or [("", "", "", "")], "kind string, name string, _src string, _tgt string")
     arcs = tree.arcs.join(names, [tree.arcs[c].eqNullSafe(names[c]) for c in ("kind", "name")]).select("record_id", "parent", "child", "pos", "_src", "_tgt")
     dead = [v for v in sorted(src.vertices) if not m.survives(v)]
-    near = arcs
-    for _ in range(run):
-        up = near.where(F.col("_src").isin(dead))
-        above = arcs.select("record_id", F.col("child").alias("parent"), F.col("parent").alias("_p"), F.col("_src").alias("_s"))
-        climbed = up.join(above, ["record_id", "parent"], "left").select("record_id", F.col("_p").alias("parent"), "child", "pos", F.col("_s").alias("_src"), "_tgt")
-        near = near.where(~F.col("_src").isin(dead) | F.col("_src").isNull()).unionByName(climbed)
+    near = climbed(arcs, dead, run)
     known, ambiguous, pairs = [], [], set()
 
     def walk(v, anc):
@@ -182,13 +204,12 @@ def restrict(tree: Tree, src: Schema, m: Compiled, valid: bool = False) -> Restr
     parents = kept.select("record_id", F.col("node_id").alias("anc"), F.col("to").alias("to_parent"))
     joined = near.join(places, ["record_id", "child"]).join(parents, ["record_id", "anc"], "left")
     known = []
-    for a in sorted(m.survivors):
-        for b in sorted(m.survivors):
-            e = m.edge_between(a, b)
-            if not isinstance(e, str):
-                known.append((a, b, e.kind, e.name, None))
-            elif e == "AmbiguousEdge":
-                known.append((a, b, None, None, e))
+    for a, b in sorted({(e.src, e.tgt) for e in m.edges} | set(m.resolver)):
+        e = m.edge_between(a, b)
+        if not isinstance(e, str):
+            known.append((a, b, e.kind, e.name, None))
+        elif e == "AmbiguousEdge":
+            known.append((a, b, None, None, e))
     table = _pairs(spark, known, "to_parent string, to_child string, kind string, name string, _why string")
     edged = joined.join(table, ["to_parent", "to_child"], "left")
     lost = tree.roots().select(*KEY).join(marked.where(~F.col("alive")), KEY, "left_semi").select("record_id", F.lit("RootPruned").alias("reason"))

@@ -16,35 +16,36 @@ CONLLU = ["ID", "FORM", "LEMMA", "UPOS", "XPOS", "FEATS", "HEAD", "DEPREL", "DEP
 
 
 def parse_json(df: DataFrame, column: str, schema: Schema, root: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """``df`` with ``record`` (the schema's struct), ``type`` (the text's $type) and ``rest``: keys that the schema lacks, by name, as JSON text.
+    """``df`` with ``record`` (the schema's struct), ``type`` (the text's $type) and ``rest``: keys that the schema lacks, by name, as JSON text
+    (a string keeps its quotes, so that text and numbers stay apart).
 
-    Text that is no JSON gives null in all three; with mode FAILFAST it fails the query.
+    Text that is no JSON object gives null in all three; with mode FAILFAST it fails the query.
     """
     known = [e.label for e in schema.outgoing(root)]
-    open_map = F.from_json(F.col(column), "map<string,string>", {"mode": mode})
-    rest = F.map_filter(open_map, lambda k, v: ~k.isin([*known, "$type"]))
+    open_map = F.from_json(F.col(column), "map<string,variant>", {"mode": mode})
+    rest = F.transform_values(F.map_filter(open_map, lambda k, v: ~k.isin([*known, "$type"])), lambda k, v: F.coalesce(F.to_json(v), F.lit("null")))
     record = F.from_json(F.col(column), schema.struct(root), {"mode": mode})
     return df.withColumn("record", F.when(open_map.isNotNull(), record)).withColumn("type", F.get_json_object(column, "$['$type']")).withColumn("rest", rest)
 
 
 def emit_json(df: DataFrame, record: str = "record", rest: str | None = "rest") -> DataFrame:
-    """``df`` with ``json``: the record's fields without nulls, and the rest's keys over them."""
+    """``df`` with ``json``: the record's fields without nulls, as they are typed, and the keys of ``rest`` (JSON texts) over them."""
     text = F.to_json(record)
     if rest is None:
         return df.withColumn("json", text)
-    own = F.from_json(text, "map<string,string>")
-    over = F.map_filter(own, lambda k, v: ~F.map_contains_key(F.coalesce(F.col(rest), F.create_map().cast("map<string,string>")), k))
-    merged = F.map_concat(over, F.coalesce(F.col(rest), F.create_map().cast("map<string,string>")))
-    pairs = F.transform(F.map_entries(merged), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), _json_value(e["value"])))
-    plain = F.when(F.size(F.coalesce(rest, F.create_map().cast("map<string,string>"))) == 0, text)
+    nothing = F.create_map().cast("map<string,string>")
+    more = F.coalesce(F.col(rest), nothing)
+    own = F.transform_values(F.from_json(text, "map<string,variant>"), lambda k, v: F.coalesce(F.to_json(v), F.lit("null")))
+    merged = F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(more, k)), more)
+    pairs = F.transform(F.map_entries(merged), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"]))
+    plain = F.when(F.size(more) == 0, text)
     return df.withColumn("json", F.coalesce(plain, F.concat(F.lit("{"), F.array_join(F.sort_array(pairs), ","), F.lit("}"))))
 
 
-def _json_value(v):
-    """JSON text of a value that was read as text: literals, numbers and nested values stay, others are strings."""
-    quoted = F.to_json(F.array(v))
-    raw = v.rlike(r'^(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|null|\{.*\}|\[.*\])$')
-    return F.when(v.isNull(), "null").when(raw, v).otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2))
+def _quoted(v):
+    """A text as JSON."""
+    listed = F.to_json(F.array(v))
+    return listed.substr(F.lit(2), F.length(listed) - 2)
 
 
 def read_json_dir(spark: SparkSession, path: str, schema: Schema, root: str) -> tuple[DataFrame, DataFrame]:
@@ -107,18 +108,30 @@ def emit_xml(df: DataFrame, record: str = "record", root: str = "ROW") -> DataFr
 
 
 def read_table(spark: SparkSession, path: str, sep: str = "\t", comment: str | None = "#") -> DataFrame:
-    """Delimited text without quoting: the first line that is neither blank nor a comment names the columns, all of which are text;
-    ``_`` is missing, and fields beyond the names are col_<i>. A file's header is looked up; its lines are split by the scan."""
-    lines = spark.read.text(path)
+    """Delimited text without quoting: the first line of each file that is neither blank nor a comment names the columns, all of which are text;
+    ``_`` is missing, fields that a line lacks are null, and fields beyond the names are ``col_<i>``, as many as the widest line has.
+
+    Only that first line is a header: later lines that equal it are rows. Files with different headers are an error. One pass finds
+    the header and the widest line; ``comment`` is one character.
+    """
+    if comment and len(comment) != 1:
+        raise ValueError("a comment begins with one character")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
     useful = F.trim("value") != ""
     if comment:
         useful = useful & ~F.col("value").startswith(comment)
-    lines = lines.where(useful)
-    head = lines.limit(1).collect()
-    if not head:
+    parts = F.size(F.split(F.regexp_replace("value", "\r$", ""), "\\Q" + sep + "\\E", -1))
+    per_file = lines.where(useful).groupBy("file").agg(F.min_by("value", F.struct("start", "at")).alias("head"), F.max(parts).alias("width"))
+    found = per_file.groupBy("head").agg(F.max("width").alias("width")).limit(2).collect()
+    if not found:
         raise ValueError(f"no header in {path}")
-    names = head[0].value.rstrip("\r").split(sep)
-    return split_table(lines.where(F.col("value") != head[0].value), names, sep)
+    if len(found) > 1:
+        raise ValueError(f"files of {path} have different headers")
+    names = found[0].head.rstrip("\r").split(sep)
+    # Whole lines through the reader that knows each file's first line and its comments.
+    options = {"header": True, "sep": "\u0001", "quote": "", "comment": comment or "", "nullValue": "\u0001", "lineSep": "\n"}
+    rows = spark.read.schema("value string").options(**{k: v for k, v in options.items() if k != "comment" or v}).csv(path)
+    return split_table(rows, names, sep, max(0, found[0].width - len(names)))
 
 
 def split_table(lines: DataFrame, names: list[str], sep: str, extra: int = 0) -> DataFrame:
@@ -149,7 +162,10 @@ def parse_conllu(docs: DataFrame, ident: str = "doc_id", column: str = "text") -
     sents = docs.select(ident, F.posexplode(blocks).alias("sent_idx", "_b")).withColumn("_lines", F.filter(F.split("_b", "\n"), lambda x: F.trim(x) != ""))
     meta = F.filter("_lines", lambda x: x.startswith("#"))
     pairs = F.transform(meta, lambda x: F.split(F.regexp_replace(x, r"^#\s*", ""), r"\s*=\s*", 2))
-    as_map = F.map_from_entries(F.transform(F.filter(pairs, lambda p: F.size(p) == 2), lambda p: F.struct(p[0], p[1])))
+    given = F.filter(pairs, lambda p: F.size(p) == 2)
+    # Of a repeated key the last value counts.
+    last = F.filter(given, lambda p, i: ~F.exists(F.slice(given, i + 2, F.size(given)), lambda q: q[0] == p[0]))
+    as_map = F.map_from_entries(F.transform(last, lambda p: F.struct(p[0], p[1])))
     sentences = sents.select(ident, "sent_idx", as_map.alias("metadata"))
     rows = sents.select(ident, "sent_idx", F.posexplode(F.filter("_lines", lambda x: ~x.startswith("#"))).alias("token_idx", "_l"))
     parts = F.split("_l", "\t", -1)
@@ -158,13 +174,19 @@ def parse_conllu(docs: DataFrame, ident: str = "doc_id", column: str = "text") -
 
 
 def emit_conllu(sentences: DataFrame, tokens: DataFrame, ident: str = "doc_id") -> DataFrame:
-    """ident and the CoNLL-U text of its sentences, in order."""
+    """ident and the CoNLL-U text of its sentences, in order: one grouping of all lines by document, no join."""
     line = F.concat_ws("\t", *[F.coalesce(F.col(n), F.lit("_")) for n in CONLLU])
-    body = tokens.groupBy(ident, "sent_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("token_idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
     heads = F.array_join(F.transform(F.sort_array(F.map_entries("metadata")), lambda e: F.concat(F.lit("# "), e["key"], F.lit(" = "), e["value"])), "\n")
-    text = F.concat_ws("\n", F.nullif(heads, F.lit("")), F.col("body"))
-    whole = sentences.join(body, [ident, "sent_idx"], "left").select(ident, "sent_idx", text.alias("t"))
-    return whole.groupBy(ident).agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "t"))), lambda x: x["t"]), "\n\n"), F.lit("\n\n")).alias("text"))
+    first = sentences.select(ident, F.struct(F.col("sent_idx").cast("long").alias("s"), F.lit(-1).cast("long").alias("t"), F.coalesce(heads, F.lit("")).alias("l")).alias("x"))
+    lines = tokens.select(ident, F.struct(F.col("sent_idx").cast("long").alias("s"), F.col("token_idx").cast("long").alias("t"), line.alias("l")).alias("x"))
+    whole = first.unionByName(lines).groupBy(ident).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+
+    def joined(x, i):
+        before = F.get("xs", i - 1)
+        gap = F.when(i == 0, "").when(before["s"] != x["s"], "\n\n").when(before["l"] == "", "").otherwise("\n")
+        return F.concat(gap, x["l"])
+
+    return whole.select(ident, F.concat(F.array_join(F.transform("xs", joined), ""), F.lit("\n\n")).alias("text"))
 
 
 def sentences_of(docs: DataFrame, ident: str = "doc_id", column: str = "text") -> tuple[DataFrame, DataFrame]:
