@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import compile_expr, env_of, parse, predicate
-from .operators import edits, fibers, graph, lens, merge, query, relational, transforms, tree
+from .operators import edit_lens, edits, fibers, graph, lens, merge, query, relational, transforms, tree
 from .plans import compare, lens_text
 from .plans.migration import Compiled, Migration, compile_migration, find_morphisms
 from .schema import OPEN, Edge, Schema, SchemaBuilder
@@ -697,6 +697,61 @@ def edit_translate(spark, d):
     return edits.translate(log, t.nodes.select("record_id", "node_id", "anchor"), CONTRACT).select("record_id", "seq", "op", "anchor")
 
 
+def _log(df: DataFrame, *edits_: tuple) -> DataFrame:
+    """A log from ``df``: an edit for each of its rows and each of (seq, op, columns by name)."""
+    from functools import reduce
+
+    kinds = {"node": "long", "parent": "long", "kind": "string", "name": "string", "anchor": "string", "field": "string", "value": "string", "joined": "array<long>"}
+    parts = [df.select("record_id", F.lit(s).cast("long").alias("seq"), F.lit(op).alias("op"), *[F.expr(given.get(c, "null")).cast(t).alias(c) for c, t in kinds.items()]) for s, op, given in edits_]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query_of("edit_get", f"""SELECT o_custkey AS record_id, seq, op, n * k AS node, p AS parent, kind, name, anchor, why FROM (SELECT o_custkey, (o_orderkey + 1) * {BLOCK} AS n FROM orders),
+    (VALUES (1, 'identity', 1, NULL, NULL, NULL, NULL, 'absorbed'), (3, 'identity', 1, NULL, NULL, NULL, NULL, 'absorbed'), (4, 'identity', 1, NULL, NULL, NULL, 'lineitem', 'NoPlace'), (6, 'identity', 1, NULL, NULL, NULL, NULL, 'absorbed')) v(seq, op, k, p, kind, name, anchor, why)
+    UNION ALL SELECT o_custkey, 2, 'insert_node', (o_orderkey + 1) * {BLOCK} + 900, 0, 'bought', 'lines', 'line', NULL FROM orders
+    UNION ALL SELECT o_custkey, 5, 'set_field', (o_orderkey + 1) * {BLOCK} + 900, NULL, NULL, NULL, NULL, NULL FROM orders""")
+def edit_get(spark, d):
+    """Edits of the source as edits of the view: those of dropped orders are absorbed, and a line put under an order is put under its customer."""
+    t = order_tree(spark, d)
+    at = t.nodes.where("anchor = 'orders'").select("record_id", "node_id")
+    log = _log(at, (1, "set_field", {"node": "node_id", "field": "'name'", "value": "'x'"}), (2, "insert_node", {"node": "node_id + 900", "parent": "node_id", "kind": "'holds'", "name": "'items'", "anchor": "'lineitem'"}), (3, "remove_field", {"node": "node_id", "field": "'name'"}), (4, "relabel_node", {"node": "node_id", "anchor": "'lineitem'"}), (5, "set_field", {"node": "node_id + 900", "field": "'name'", "value": "'y'"}), (6, "delete_node", {"node": "node_id"}))
+    got = edit_lens.EditLens(ORDER_LENS).get_edits(t, log)
+    why = got.errors.select("record_id", "node", "seq", F.col("reason").alias("why")).unionByName(got.absorbed.select("record_id", "node", "seq", F.lit("absorbed").alias("why")))
+    return got.log.join(why, ["record_id", "node", "seq"], "left").select("record_id", "seq", "op", "node", "parent", "kind", "name", "anchor", "why")
+
+
+BASKET = Compiled(
+    frozenset({"buyer", "basket"}), frozenset({Edge("buyer", "basket", "has", "baskets")}), {"customer": "buyer", "orders": "basket"}, {Edge("customer", "orders", "places", "orders"): Edge("buyer", "basket", "has", "baskets")},
+    transforms={"basket": [("rename", "name", "label"), ("compute", "half", "price / 2.0"), ("compute", "twice", "price * 2.0")]},
+)
+
+
+@query_of("edit_put", """SELECT c_custkey AS record_id, seq, op, node, kind, name, anchor, field, why FROM customer, (VALUES
+    (1, 'insert_node', 7, 'places', 'orders', 'orders', NULL, NULL), (2, 'set_field', 7, NULL, NULL, NULL, 'name', NULL), (3, 'identity', 7, NULL, NULL, NULL, 'half', 'ComputedField'),
+    (4, 'identity', 7, NULL, NULL, NULL, 'twice', NULL), (5, 'relabel_node', 0, NULL, NULL, 'customer', NULL, NULL), (6, 'identity', 8, 'has', NULL, 'buyer', NULL, 'NoEdgeFound')) v(seq, op, node, kind, name, anchor, field, why)""")
+def edit_put(spark, d):
+    """Edits of the view as edits of the source: names go back, computed fields cannot be set."""
+    t = order_tree(spark, d)
+    target = Schema("open", {"buyer": "object", "basket": "object"}, BASKET.edges)
+    lens_ = edit_lens.EditLens(lens.TreeLens(ORDER_TREE, target, BASKET), {("basket", "twice"): "ignore"})
+    log = _log(t.nodes.where("anchor = 'customer'"), (1, "insert_node", {"node": "7", "parent": "0", "kind": "'has'", "name": "'baskets'", "anchor": "'basket'"}), (2, "set_field", {"node": "7", "field": "'label'", "value": "'x'"}), (3, "set_field", {"node": "7", "field": "'half'", "value": "'1'"}), (4, "set_field", {"node": "7", "field": "'twice'", "value": "'1'"}), (5, "relabel_node", {"node": "0", "anchor": "'buyer'"}), (6, "insert_node", {"node": "8", "parent": "7", "kind": "'has'", "anchor": "'buyer'"}))
+    got = lens_.put_edits(t, log)
+    return got.log.join(got.errors.select("record_id", "seq", F.col("reason").alias("why")), ["record_id", "seq"], "left").select("record_id", "seq", "op", "node", "kind", "name", "anchor", "field", "why")
+
+
+@query_of("edit_fans", """SELECT conv_id AS record_id, f AS hyper_edge, 0::BIGINT AS parent, m AS children FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('kept', 'b=2'), ('late', 'x=0,y=2')) v(f, m)""")
+def edit_fans(spark, d):
+    """Fans go with their members, and edits add and remove them."""
+    nodes, arcs = _turns(spark, d)
+    ids = nodes.where("node_id = 0").select("record_id")
+    fan = lambda n, **children: ids.select("record_id", F.lit(n).alias("hyper_edge"), F.lit(0).cast("long").alias("parent"), F.create_map(*[F.lit(x) for k, v in children.items() for x in (k, v)]).cast("map<string,bigint>").alias("children"))
+    fans = fan("pair", a=1, b=2).unionByName(fan("kept", b=2)).unionByName(fan("gone", b=2))
+    log = _log(ids, (1, "delete_node", {"node": "1"}), (2, "delete_fan", {"node": "0", "name": "'gone'"}), (3, "insert_fan", {"node": "0", "name": "'late'", "field": "'x,y'", "joined": "array(0, 2)"}), (4, "delete_fan", {"node": "0", "name": "'none'"}))
+    out = edits.apply_tree_edits(nodes, arcs, log, fans)[3]
+    text = F.array_join(F.transform(F.sort_array(F.map_entries("children")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.select("record_id", "hyper_edge", "parent", text.alias("children"))
+
+
 # Sources and sinks --------------------------------------------------------------------------------
 
 PROPS = SchemaBuilder(OPEN).vertex("props", "object").vertex("props.k", "integer").edge("props", "props.k", "prop", "k").build()

@@ -161,8 +161,9 @@ class TreeState:
         self.fans = [f for f in self.fans if f["parent"] != n and n not in f["children"].values()]
 
 
-def apply_tree_edits(nodes: DataFrame, arcs: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, arcs and errors (record_id, seq, reason) after a log (``EDIT_SCHEMA``) of edits, in order within each record.
+def apply_tree_edits(nodes: DataFrame, arcs: DataFrame, log: DataFrame, fans: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """Nodes, arcs and errors (record_id, seq, reason) after a log (``EDIT_SCHEMA``) of edits, in order within each record; with ``fans``
+    (record_id, hyper_edge, parent, children) also the fans, which go where their parent or a child goes.
 
     Order matters within a record and not between records: one grouped pass, a record's tree at a time.
     ``fields`` is a map of text. Records without edits do not go through Python.
@@ -171,11 +172,17 @@ def apply_tree_edits(nodes: DataFrame, arcs: DataFrame, log: DataFrame) -> tuple
     touched = log.select("record_id").distinct()
     place = arcs.select("record_id", F.col("child").alias("node_id"), "parent", "pos", "kind", "name")
     have = nodes.join(touched, "record_id", "left_semi").join(place, ["record_id", "node_id"], "left")
+    have = have.select("record_id", F.col("node_id").cast("long").alias("node_id"), "anchor", F.col("value").cast("string").alias("value"), F.col("fields").cast("map<string,string>").alias("fields"), F.col("parent").cast("long").alias("parent"), F.col("pos").cast("long").alias("pos"), "kind", "name")
+    if fans is not None:  # a fan travels as a row without node_id, its children as fields
+        nothing = F.lit(None)
+        flat = fans.join(touched, "record_id", "left_semi").select("record_id", nothing.cast("long").alias("node_id"), nothing.cast("string").alias("anchor"), nothing.cast("string").alias("value"), F.col("children").cast("map<string,string>").alias("fields"), F.col("parent").cast("long").alias("parent"), nothing.cast("long").alias("pos"), nothing.cast("string").alias("kind"), F.col("hyper_edge").alias("name"))
+        have = have.unionByName(flat)
     keys = ("node_id", "anchor", "value", "fields", "parent", "pos", "kind", "name")
 
     def run(key, mine: pa.Table, edits: pa.Table) -> pa.Table:
-        rows = mine.to_pylist()
-        state = TreeState([{k: r[k] for k in keys[:4]} | {"fields": dict(r["fields"] or [])} for r in rows], [{"parent": r["parent"], "child": r["node_id"], "pos": r["pos"], "kind": r["kind"], "name": r["name"]} for r in rows if r["parent"] is not None])
+        rows = [r for r in mine.to_pylist() if r["node_id"] is not None]
+        fans_in = [{"hyper_edge": r["name"], "parent": r["parent"], "children": {k: int(v) for k, v in r["fields"] or []}} for r in mine.to_pylist() if r["node_id"] is None]
+        state = TreeState([{k: r[k] for k in keys[:4]} | {"fields": dict(r["fields"] or [])} for r in rows], [{"parent": r["parent"], "child": r["node_id"], "pos": r["pos"], "kind": r["kind"], "name": r["name"]} for r in rows if r["parent"] is not None], fans_in)
         bad = [(e["seq"], why) for e in sorted(edits.to_pylist(), key=lambda e: e["seq"]) if (why := state.apply(e))]
         up = {a[1]: a for a in state.arcs}
         rid = key[0].as_py()
@@ -183,21 +190,25 @@ def apply_tree_edits(nodes: DataFrame, arcs: DataFrame, log: DataFrame) -> tuple
         for n in sorted(state.nodes):
             x, a = state.nodes[n], up.get(n)
             out.append({"record_id": rid, "node_id": n, "anchor": x["anchor"], "value": x["value"], "fields": list(x["fields"].items()), "parent": a and a[0], "pos": a and a[2], "kind": a and a[3], "name": a and a[4], "reason": None, "seq": None})
+        out += [{"record_id": rid, "parent": f["parent"], "name": f["hyper_edge"], "fields": [(k, str(v)) for k, v in f["children"].items()]} for f in state.fans]
         out += [{"record_id": rid, "reason": why, "seq": s} for s, why in bad]
         schema = pa.schema([("record_id", pa.int64()), ("node_id", pa.int64()), ("anchor", pa.string()), ("value", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("parent", pa.int64()), ("pos", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("reason", pa.string()), ("seq", pa.int64())])
         return pa.Table.from_pylist(out, schema)
 
-    have = have.select("record_id", F.col("node_id").cast("long").alias("node_id"), "anchor", F.col("value").cast("string").alias("value"), F.col("fields").cast("map<string,string>").alias("fields"), F.col("parent").cast("long").alias("parent"), F.col("pos").cast("long").alias("pos"), "kind", "name")
     done = have.groupBy("record_id").cogroup(log.groupBy("record_id")).applyInArrow(run, TREE_SCHEMA)
     errors = done.where("reason is not null").select("record_id", "seq", "reason")
-    new = done.where("reason is null")
+    new = done.where("reason is null and node_id is not null")
     same_nodes = nodes.join(touched, "record_id", "left_anti").select("record_id", "node_id", "anchor", "value", "fields")
     same_arcs = arcs.join(touched, "record_id", "left_anti").select("record_id", "parent", "child", "pos", "kind", "name")
-    return (
+    changed = (
         same_nodes.unionByName(new.select("record_id", "node_id", "anchor", "value", "fields")),
         same_arcs.unionByName(new.where("parent is not null").select("record_id", "parent", F.col("node_id").alias("child"), "pos", "kind", "name")),
         errors,
     )
+    if fans is None:
+        return changed
+    of_fans = done.where("reason is null and node_id is null").select("record_id", F.col("name").alias("hyper_edge"), "parent", F.col("fields").cast("map<string,bigint>").alias("children"))
+    return (*changed, fans.join(touched, "record_id", "left_anti").select("record_id", "hyper_edge", F.col("parent").cast("long").alias("parent"), F.col("children").cast("map<string,bigint>").alias("children")).unionByName(of_fans))
 
 
 def translate(log: DataFrame, anchors: DataFrame, m) -> DataFrame:
