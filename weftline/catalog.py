@@ -11,11 +11,12 @@ from pyspark.sql.window import Window
 
 from .functions import compile_expr, env_of, parse, predicate
 from .operators import edit_lens, edits, fibers, graph, lens, merge, query, relational, transforms, tree
-from .plans import compare, lens_text
+from .plans import compare, hom, lens_text
 from .plans.migration import Compiled, Migration, compile_migration, find_morphisms
 from .schema import OPEN, Edge, Schema, SchemaBuilder
 from .sources import languages, records
 from .storage import new_folder, shared_dir
+from .theory import Morphism
 from .versioning import Repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -639,6 +640,106 @@ def version_log(spark, d):
     return repo.frame(spark).select("seq", "message")
 
 
+def _nation_versions(spark, d):
+    """Two versions of a table: the second renames two columns, drops one and adds one."""
+    repo, df = Repository(), table(spark, d, "nation")
+    repo.add(languages.from_struct(df.schema, "nation"), nation=f"{d}/nation.parquet", region=f"{d}/region.parquet")
+    first = repo.commit("first")
+    b = SchemaBuilder(OPEN).vertex("nation", "object")
+    for n, k in (("n_nationkey", "int32"), ("n_label", "string"), ("note", "token")):
+        b.vertex(f"nation.{n}", k).edge("nation", f"nation.{n}", "prop", n)
+    repo.add(b.build(), region=f"{d}/supplier.parquet")
+    return repo, df, first, repo.commit("second")
+
+
+@query_of("version_migrate_back", """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN upper(n_name) || '!' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey <> 4 UNION ALL SELECT 100, 'new', NULL""")
+def version_migrate_back(spark, d):
+    """There and back: edits of the new version stay, what it lacks comes from the complement, a new row has nothing there."""
+    repo, df, a, b = _nation_versions(spark, d)
+    new, complement = repo.forward(df, "nation", a, b, ["n_nationkey"])
+    edited = new.where("n_nationkey <> 4").withColumn("n_label", F.expr("case when n_nationkey % 2 = 0 then upper(n_label) || '!' else n_label end"))
+    edited = edited.unionByName(spark.createDataFrame([(100, "new")], "n_nationkey int, n_label string"), allowMissingColumns=True)
+    return repo.backward(edited, complement, "nation", a, b, ["n_nationkey"])
+
+
+@query_of("version_stale", "SELECT 'nation' AS dataset, count(*) AS n FROM nation")
+def version_stale(spark, d):
+    """Datasets that were written for an older schema, with their rows; one that came with the new schema is not among them."""
+    repo, *_ = _nation_versions(spark, d)
+    parts = [spark.read.parquet(path).agg(F.lit(name).alias("dataset"), F.count("*").alias("n")) for name, path, _, _ in repo.stale()]
+    return relational.union_all(parts)
+
+
+@query_of("version_folder", """SELECT '{"key":' || n_nationkey || ',"label":"' || n_name || '"}' AS value FROM nation WHERE n_nationkey % 5 <> 0""")
+def version_folder(spark, d):
+    """A folder of JSON records goes over to another version; what cannot be read is counted and left."""
+    repo = Repository()
+    for names in (("n_nationkey", "n_name"), ("key", "label")):
+        b = SchemaBuilder(OPEN).vertex("nation", "object")
+        for n, k in zip(names, ("int32", "string"), strict=True):
+            b.vertex(f"nation.{n}", k).edge("nation", f"nation.{n}", "prop", n)
+        repo.add(b.build())
+        repo.commit(names[0])
+    old, new = (c.id for c in sorted(repo.commits.values(), key=lambda c: c.seq))
+    folder, to = new_folder(spark, "records"), new_folder(spark, "moved")
+    text = F.when(F.col("n_nationkey") % 5 == 0, "no json").otherwise(F.to_json(F.struct("n_nationkey", "n_name")))
+    table(spark, d, "nation").repartition(25, "n_nationkey").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    repo.migrate_folder(spark, folder, to, "nation", old, new)
+    return spark.read.text(to)
+
+
+@query_of("hom_evaluate", f"{_NODES} SELECT record_id, node_id, CASE anchor WHEN 'lineitem' THEN 'line' ELSE anchor END AS anchor FROM nodes WHERE anchor <> 'orders'")
+def hom_evaluate(spark, d):
+    """A mapping written as an instance of the hom schema, checked against that schema, and applied from there."""
+    m = hom.curry(CONTRACT, ORDER_TREE, spark)
+    assert not tree.validate(m, hom.hom_schema(ORDER_TREE, BOUGHT)).count()
+    return hom.evaluate(m, order_tree(spark, d), ORDER_TREE, BOUGHT).tree.nodes.select("record_id", "node_id", "anchor")
+
+
+@query_of("cascade_data", f"WITH {_LINES} SELECT o_custkey AS record_id, parent, node_id AS child, 'contains' AS kind FROM lines UNION ALL SELECT o_custkey, 0, (o_orderkey + 1) * {BLOCK}, 'places' FROM orders")
+def cascade_data(spark, d):
+    """A map of theories renames an operation; the schema's edges and the data's arcs follow."""
+    _, m = hom.induced_data(Morphism({}, {"holds": "contains"}), ORDER_TREE)
+    return tree.restrict(order_tree(spark, d), ORDER_TREE, m).tree.arcs.select("record_id", "parent", "child", "kind")
+
+
+@query_of("project_coproduct", f"{_NODES} SELECT record_id, node_id, 'a.json::' || anchor AS anchor, 'a.json' AS file FROM nodes UNION ALL SELECT record_id, node_id, 'b.json::' || anchor, 'b.json' FROM nodes WHERE anchor = 'customer'")
+def project_coproduct(spark, d):
+    """The data of two files side by side, under their schemas' coproduct."""
+    t = order_tree(spark, d)
+    small = SchemaBuilder(OPEN).vertex("customer", "object").build()
+    _, ways = hom.coproduct({"a.json": ORDER_TREE, "b.json": small})
+    other = tree.Tree(t.nodes.where("anchor = 'customer'"), t.arcs.limit(0))
+    return hom.tagged({"a.json": t, "b.json": other}, ways).nodes.select("record_id", "node_id", "anchor", "file")
+
+
+@query_of("tree_expand", f"""{_NODES}, f AS (SELECT * FROM orders WHERE o_orderstatus = 'F') SELECT o_custkey AS record_id, CASE WHEN o_orderstatus = 'F' THEN parent ELSE 0 END AS parent, node_id AS child FROM lines
+    UNION ALL SELECT o_custkey, 0, (o_orderkey + 1) * {BLOCK} FROM f""")
+def tree_expand(spark, d):
+    """Contracted orders that are finished come back, with their lines under them."""
+    t = order_tree(spark, d)
+    r = tree.restrict(t, ORDER_TREE, CONTRACT, valid=True)
+    record = tree.contractions(r, t.arcs)
+    return tree.expand(r.tree, record, t.arcs, record.where("fields.status = 'F'")).arcs.select("record_id", "parent", "child")
+
+
+@query_of("graph_reachable_after", """WITH e AS (SELECT n_nationkey::BIGINT + 1000 AS src, n_regionkey::BIGINT AS dst FROM nation WHERE n_nationkey NOT IN (3, 4) UNION ALL SELECT c_custkey + 100000, c_nationkey + 1000 FROM customer WHERE c_nationkey <> 7
+    UNION ALL SELECT r_regionkey::BIGINT, 500 + r_regionkey FROM region UNION ALL SELECT 500 + r_regionkey, 600 + r_regionkey FROM region),
+    a AS (SELECT DISTINCT c_custkey + 100000 AS id FROM customer), b AS (SELECT DISTINCT dst AS id FROM e WHERE src IN (FROM a)), c AS (SELECT DISTINCT dst AS id FROM e WHERE src IN (FROM b)),
+    f AS (SELECT DISTINCT dst AS id FROM e WHERE src IN (FROM c)), g AS (SELECT DISTINCT dst AS id FROM e WHERE src IN (FROM f)) SELECT id FROM a UNION SELECT id FROM b UNION SELECT id FROM c UNION SELECT id FROM f UNION SELECT id FROM g""")
+def graph_reachable_after(spark, d):
+    """What customers reach after some edges went and others came, from what they reached before."""
+    _checkpoints(spark)
+    g = place_graph(spark, d)
+    roots = g.vertices.where("anchor = 'customer'").select("id")
+    before = graph.reachable(g, roots)
+    gone = g.edges.where("src in (1003, 1004) or dst = 1007")
+    r = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("k"))
+    new = r.select(F.col("k").alias("src"), (F.col("k") + 500).alias("dst")).unionByName(r.select((F.col("k") + 500).alias("src"), (F.col("k") + 600).alias("dst")))
+    after = graph.Graph(g.vertices, g.edges.join(gone.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst").unionByName(new))
+    return graph.reachable_after(after, before, roots, new, gone.select("src", "dst"))
+
+
 # Edits ------------------------------------------------------------------------------------------
 
 

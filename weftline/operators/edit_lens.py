@@ -35,9 +35,9 @@ class Carried:
     errors: DataFrame
 
 
-def renames(transforms) -> tuple[dict[str, str | None], set[str], set[str] | None, dict[str, list[str]]]:
+def renames(transforms) -> tuple[dict[str, str | None], set[str], set[str] | None, dict[str, list[tuple[str, str]]]]:
     """What a vertex's transforms do to field names: old to new (None: dropped), computed names, names kept if others go, and
-    expressions applied to an old name."""
+    expressions applied to an old name, each with the name that it has by then."""
     to: dict[str, str | None] = {}
     now: dict[str, str] = {}  # present name -> old name
     computed, kept, applied = set(), None, {}
@@ -56,7 +56,7 @@ def renames(transforms) -> tuple[dict[str, str | None], set[str], set[str] | Non
         elif t[0] == "keep":
             kept = {now.get(n, n) for n in t[1]} if kept is None else kept & {now.get(n, n) for n in t[1]}
         elif t[0] == "apply":
-            applied.setdefault(now.get(t[1], t[1]), []).append(t[2])
+            applied.setdefault(now.get(t[1], t[1]), []).append((t[1], t[2]))
     return to, computed, kept, applied
 
 
@@ -113,9 +113,9 @@ class EditLens:
         for v, ts in sorted(self.lens.compiled.transforms.items()):
             for old, steps in sorted(renames(ts)[3].items()):
                 now = value
-                for text in steps:
+                for present, text in steps:
                     try:
-                        now = F.coalesce(compile_expr(parse(text), {old: Typed(now, "string")}).checked.cast("string"), now)
+                        now = F.coalesce(compile_expr(parse(text), {present: Typed(now, "string")}).checked.cast("string"), now)
                     except Unsupported:
                         continue
                 value = F.when((anchor == v) & (name == old), now).otherwise(value)

@@ -49,3 +49,23 @@ def reachable(g: Graph, start: DataFrame, rounds: int = 100) -> DataFrame:
             return seen
         seen = seen.unionByName(front).checkpoint()
     raise RecursionError(f"not settled after {rounds} rounds")
+
+
+def reachable_after(g: Graph, reached: DataFrame, roots: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """What ``roots`` reach after edges (src, dst) came or went, from what they reached before (``reached``: id).
+
+    ``g`` is the graph with both changes made. Only what an inserted edge leads to, or what a deleted one led to, is walked again.
+    """
+    now = reached.select("id").distinct().checkpoint()
+    if deleted is not None:
+        # Whatever lies below a deleted edge may be lost; what is not below any stays.
+        below = deleted.join(now.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
+        affected = reachable(g, below).join(now, "id", "left_semi").checkpoint()
+        safe = now.join(affected, "id", "left_anti").unionByName(roots.select("id")).distinct().checkpoint()
+        again = g.edges.join(safe.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().join(affected, "id", "left_semi")
+        now = safe.unionByName(reachable(g, again)).distinct().checkpoint()
+    if inserted is not None:
+        new = inserted.join(now.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(now, "id", "left_anti")
+        # An inserted edge may begin at what another one has only just reached: the walk goes over all edges.
+        now = now.unionByName(reachable(g, new)).distinct().checkpoint()
+    return now

@@ -11,9 +11,11 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import Typed, predicate
+from ..functions.syntax import free_names
 from ..plans.migration import Compiled
 from ..schema import Schema
 from ..storage import shared_dir
@@ -50,7 +52,14 @@ def _pairs(spark, rows: list, schema: str) -> DataFrame:
 
 def survival(nodes: DataFrame, m: Compiled, anchors: list[str]) -> DataFrame:
     """``nodes`` with ``to`` (the mapped anchor) and ``alive``. A predicate without a value lets a node live."""
-    env = environment(of_columns(nodes.schema["fields"].dataType, "fields")) if "fields" in nodes.columns else {}
+    env: dict = {}
+    if "fields" in nodes.columns:
+        kind = nodes.schema["fields"].dataType
+        if isinstance(kind, T.MapType):  # open fields are texts by name
+            used = set().union(*[free_names(tree_of(e)) for e in m.survival.values()]) if m.survival else set()
+            env = environment({n: Typed(F.col("fields")[n].cast("string"), "string") for n in sorted(used)})
+        else:
+            env = environment(of_columns(kind, "fields"))
     if "value" in nodes.columns:
         from ..functions.columns import type_of
 
@@ -235,6 +244,8 @@ def transformed(kept: DataFrame, m: Compiled) -> DataFrame:
     out = kept.withColumn("anchor", F.col("to")).drop("to", "alive")
     if "fields" not in out.columns or not m.transforms:
         return out
+    if isinstance(out.schema["fields"].dataType, T.MapType):
+        raise ValueError("transforms need fields as a struct, not a map")
     old = of_columns(out.schema["fields"].dataType, "fields")
     per = {v: apply(old, t, {"__value__": Typed(F.col("value"), "string")} if "value" in out.columns else None) for v, t in sorted(m.transforms.items())}
     names = list(dict.fromkeys([*old, *(n for f in per.values() for n in f)]))
@@ -345,3 +356,26 @@ def provenance(restricted: Restricted) -> DataFrame:
     """record_id, node_id, source_anchor, target_anchor of each surviving node."""
     before = restricted.kept.select(*KEY, F.col("anchor").alias("source_anchor"))
     return before.join(restricted.tree.nodes.select(*KEY, F.col("anchor").alias("target_anchor")), KEY)
+
+
+def contractions(restricted: Restricted, arcs: DataFrame) -> DataFrame:
+    """record_id, node_id, anchor (and value, fields), contracted_into, and the arc that a dropped node hung by: all that undoes its contraction."""
+    own = arcs.select("record_id", F.col("child").alias("node_id"), F.col("parent").alias("original_parent"), "pos", "kind", "name")
+    return restricted.dropped_nodes.join(own, KEY, "left")
+
+
+def expand(view: Tree, record: DataFrame, arcs: DataFrame, which: DataFrame) -> Tree:
+    """``view`` with the contracted nodes ``which`` (record_id, node_id) back under their nearest ancestor that is there, and their children under them again.
+
+    ``record`` is what ``contractions`` gave and ``arcs`` are the source's.
+    """
+    back = record.join(which.select(*KEY).distinct(), KEY, "left_semi")
+    ids = back.select("record_id", F.col("node_id").alias("_back"))
+    nodes = view.nodes.unionByName(back.select(*[c for c in view.nodes.columns if c in back.columns]), allowMissingColumns=True)
+    there = ids.select("record_id", F.col("_back").alias("original_parent"), F.lit(True).alias("_up"))
+    own = back.join(there, ["record_id", "original_parent"], "left").select("record_id", F.when(F.col("_up"), F.col("original_parent")).otherwise(F.col("contracted_into")).alias("parent"), F.col("node_id").alias("child"), "pos", "kind", "name")
+    # Arcs of the view whose child hung below an expanded node in the source.
+    old = arcs.select("record_id", "child", F.col("parent").alias("_back"), F.col("pos").alias("_pos"), F.col("kind").alias("_kind"), F.col("name").alias("_name")).join(ids, ["record_id", "_back"], "left_semi")
+    j = view.arcs.join(old, ["record_id", "child"], "left")
+    again = [F.when(F.col("_back").isNotNull(), F.col(f"_{c}" if c != "parent" else "_back")).otherwise(F.col(c)).alias(c) for c in ("parent", "pos", "kind", "name")]
+    return Tree(nodes, j.select("record_id", "child", *again).unionByName(own.where("parent is not null")), view.fans)

@@ -12,6 +12,7 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators.transforms import select
 from .plans.compare import Change, diff
@@ -259,11 +260,79 @@ class Repository:
         """A dataset of one version as another version's: the steps along the way are fused into one projection."""
         return select(df, auto_steps(self.schema(a), self.schema(b), root))
 
+    def forward(self, df: DataFrame, root: str, a: str, b: str, key: list[str]) -> tuple[DataFrame, DataFrame]:
+        """A dataset of version ``a`` as version ``b``'s, and its complement: the columns that the way loses or changes for good, by key.
+
+        ``key`` names columns of version ``a`` that tell rows apart (null is a value); write the complement beside the data to come back.
+        """
+        steps = auto_steps(self.schema(a), self.schema(b), root)
+        lost = [c for c in lost_columns(steps, df.columns) if c not in key]
+        return select(df, steps), df.select(*key, *lost).dropDuplicates(key)
+
+    def backward(self, df: DataFrame, complement: DataFrame, root: str, a: str, b: str, key: list[str]) -> DataFrame:
+        """A dataset of version ``b``, edited perhaps, as version ``a``'s: what the way lost comes from the complement, by key, and is null for new rows."""
+        steps = auto_steps(self.schema(a), self.schema(b), root)
+        back = select(df, inverse([t for t in steps if invertible(t)]))
+        if gone := [k for k in key if k not in back.columns]:
+            raise VersionError(f"the key {gone} did not survive")
+        lost = [c for c in complement.columns if c not in key]
+        kept = complement.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)], *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(lost)])
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+        j = back.join(kept, same, "left")
+        want = [e.label for e in self.schema(a).outgoing(root)]
+        return j.select(*[F.col(f"_c{lost.index(c)}").alias(c) if c in lost else F.col(f"`{c}`") for c in want if c in lost or c in back.columns])
+
+    def stale(self, ref: str = "HEAD") -> list[tuple[str, str, str, str]]:
+        """(dataset, path, version it was written for, why) of datasets whose schema is not the version's: added before the schema changed."""
+        at = self.commits[self.resolve(ref)]
+        out = []
+        for name, path in sorted(at.data.items()):
+            since = at
+            while since.parents and self.commits[since.parents[0]].data.get(name) == path:
+                since = self.commits[since.parents[0]]
+            if since.schema != at.schema:
+                out.append((name, path, since.id, f"written for schema {since.schema[:12]}, now {at.schema[:12]}"))
+        return out
+
+    def migrate_folder(self, spark: SparkSession, folder: str, to: str, root: str, a: str, b: str) -> dict[str, int]:
+        """A folder of JSON records of version ``a`` as JSON lines of version ``b`` under ``to``; how many went over and how many could not be read."""
+        from .sources.records import emit_json, read_json_dir
+
+        good, bad = read_json_dir(spark, folder, self.schema(a), root)
+        moved = select(good.select("file", "rest", "record.*"), auto_steps(self.schema(a), self.schema(b), root))
+        order = [e.label for e in self.schema(b).outgoing(root)]
+        kept = [c for c in order if c in moved.columns] + [c for c in moved.columns if c not in ("file", "rest", *order)]
+        emit_json(moved.select("rest", F.struct(*[F.col(f"`{c}`") for c in kept]).alias("record"))).select("json").write.text(to)
+        return {"migrated": spark.read.text(to).count(), "failed": bad.count()}
+
     def migrate_back(self, df: DataFrame, root: str, a: str, b: str) -> DataFrame:
         """The way back; refused where something was lost."""
         return select(df, inverse(auto_steps(self.schema(a), self.schema(b), root)))
 
 
+def invertible(t: tuple) -> bool:
+    """Can a step be undone without a complement?"""
+    return t[0] in ("rename", "pullback", "add", "compute", "hoist", "nest") or t[0] == "apply" and len(t) > 3 and bool(t[3])
+
+
+def lost_columns(steps, columns: list[str]) -> list[str]:
+    """The columns, by their old names, that steps drop or change without a way back."""
+    now, lost = {c: c for c in columns}, []
+    for t in steps:
+        if t[0] == "rename" and t[1] in now:
+            now[t[2]] = now.pop(t[1])
+        elif t[0] == "pullback":
+            now = {t[1].get(n, n): old for n, old in now.items()}
+        elif t[0] == "drop":
+            lost += [now.pop(t[1])] if t[1] in now else []
+        elif t[0] == "keep":
+            lost += [old for n, old in now.items() if n not in t[1]]
+            now = {n: old for n, old in now.items() if n in t[1]}
+        elif not invertible(t) and len(t) > 1 and t[1] in now:
+            lost.append(now[t[1]])
+    return list(dict.fromkeys(lost))
+
+
 def merge_keyed(base: dict, ours: dict, theirs: dict, what: str) -> tuple[dict, list]:
     """By key: the side that changed wins, equal changes agree, others conflict (a removed and modified key keeps the base)."""
     out, conflicts = {}, []
@@ -296,6 +365,9 @@ def merge_schemas(base: Schema, ours: Schema, theirs: Schema) -> tuple[Schema, l
     constraints: dict = {}
     for (v, k), x in merged.items():
         constraints.setdefault(v, {})[k] = x
-    edges, _ = merge_keyed({e: True for e in base.edges}, {e: True for e in ours.edges}, {e: True for e in theirs.edges}, "Edge")
+    # An edge is its ends, kind and name; sides agree on which there are, or one of them lost an end that the other's edge needs.
+    edges, found = merge_keyed({e: True for e in base.edges}, {e: True for e in ours.edges}, {e: True for e in theirs.edges}, "Edge")
+    conflicts += found
     kept = frozenset(e for e in edges if e.src in parts["vertices"] and e.tgt in parts["vertices"])
+    conflicts += [("DanglingEdge", str(e)) for e in sorted(set(edges) - kept, key=str) if e not in base.edges]
     return Schema(ours.protocol, edges=kept, constraints={v: c for v, c in constraints.items() if v in parts["vertices"]}, **parts), conflicts
