@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from .functions import compile_expr, env_of, parse, predicate
 from .operators import edit_lens, edits, fibers, graph, lens, merge, query, relational, transforms, tree
 from .plans import compare, hom, lens_text
-from .plans.migration import Compiled, Migration, compile_migration, find_morphisms
+from .plans.migration import Compiled, Migration, compile_migration
 from .schema import OPEN, Edge, Schema, SchemaBuilder
 from .sources import languages, records
 from .storage import new_folder, shared_dir
@@ -500,16 +500,6 @@ def lens_put_edited(spark, d):
     return ORDER_LENS.put(tree.Tree(edited, view.arcs), c).nodes.select("record_id", "node_id", "anchor", "fields.price")
 
 
-@query_of("lens_laws", "SELECT 'get_put' AS law, 0::BIGINT AS violations UNION ALL SELECT 'put_get', 0")
-def lens_laws(spark, d):
-    _checkpoints(spark)
-    t = lens.settled(order_tree(spark, d))
-    view, c, _ = ORDER_LENS.get(t)
-    view = lens.settled(view)
-    a = lens.get_put(ORDER_LENS, t).agg(F.lit("get_put").alias("law"), F.count("*").alias("violations"))
-    return a.unionByName(lens.put_get(ORDER_LENS, view, c).agg(F.lit("put_get").alias("law"), F.count("*").alias("violations")))
-
-
 @query_of("lens_compose", f"{_NODES} SELECT record_id, node_id, CASE anchor WHEN 'lineitem' THEN 'entry' ELSE 'buyer' END AS anchor FROM nodes WHERE anchor <> 'orders'")
 def lens_compose(spark, d):
     second = Compiled(frozenset({"buyer", "entry"}), frozenset({Edge("buyer", "entry", "has", None)}), {"customer": "buyer", "line": "entry"})
@@ -553,28 +543,6 @@ def lens_graph_path(spark, d):
 
 # Schemas, merges and versions ---------------------------------------------------------------------
 
-OLD = Schema("open", {"body": "object", "body.text": "string", "body.gone": "string", "body.n": "integer"}, frozenset({Edge("body", "body.text", "prop", "text"), Edge("body", "body.gone", "prop", "gone"), Edge("body", "body.n", "prop", "n")}), constraints={"body.text": {"maxLength": "3000"}, "body.n": {"minimum": "5"}})
-NEW = Schema("open", {"body": "object", "body.text": "string", "body.n": "string", "body.new": "string"}, frozenset({Edge("body", "body.text", "prop", "text"), Edge("body", "body.n", "prop", "n"), Edge("body", "body.new", "prop", "new")}), constraints={"body.text": {"maxLength": "300"}, "body.new": {"maxLength": "9"}})
-
-
-@query_of("schema_diff", """SELECT * FROM (VALUES ('added_vertices', 'body.new'), ('removed_vertices', 'body.gone'), ('kind_changes', 'body.n'), ('added_edges', 'body -prop[new]-> body.new'),
-    ('removed_edges', 'body -prop[gone]-> body.gone'), ('added_constraints', 'body.new.maxLength'), ('removed_constraints', 'body.n.minimum'), ('modified_constraints', 'body.text.maxLength')) t(facet, key)""")
-def schema_diff(spark, d):
-    return spark.createDataFrame([(c.facet, c.key) for c in compare.diff(OLD, NEW)], "facet string, key string")
-
-
-@query_of("schema_breaking", """SELECT * FROM (VALUES (false, 'AddedVertex'), (true, 'RemovedVertex'), (true, 'KindChanged'), (false, 'AddedEdge'), (true, 'RemovedEdge'), (true, 'ConstraintAdded'), (false, 'ConstraintRemoved'), (true, 'ConstraintTightened')) t(breaking, kind)""")
-def schema_breaking(spark, d):
-    return spark.createDataFrame([(v.breaking, v.kind) for v in compare.classify(compare.diff(OLD, NEW))], "breaking boolean, kind string")
-
-
-@query_of("schema_morphism", "SELECT * FROM (VALUES ('a', 'r'), ('a.x', 'r.x'), ('a.y', 'r.y')) t(source, target)")
-def schema_morphism(spark, d):
-    mk = lambda r: SchemaBuilder(OPEN).vertex(r, "object").vertex(f"{r}.x", "string").vertex(f"{r}.y", "integer").edge(r, f"{r}.x", "prop", "x").edge(r, f"{r}.y", "prop", "y").build()
-    best = find_morphisms(mk("a"), mk("r"), iso=True, max_results=1)[0]
-    return spark.createDataFrame(list(best.pairs), "source string, target string")
-
-
 @query_of("schema_of_table", "SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int32' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'float64' WHEN 'FLOAT' THEN 'float32' ELSE 'timestamp' END AS kind FROM (DESCRIBE orders)")
 def schema_of_table(spark, d):
     s = languages.from_struct(table(spark, d, "orders").schema, "orders")
@@ -631,15 +599,6 @@ def version_migrate(spark, d):
     return transforms.select(df, steps).select(F.col("id").cast("int").alias("id"), "name", "n_regionkey")
 
 
-@query_of("version_log", "SELECT * FROM (VALUES (3, 'third'), (2, 'second'), (1, 'first')) t(seq, message)")
-def version_log(spark, d):
-    repo = Repository()
-    for i, name in enumerate(("first", "second", "third")):
-        repo.add(Schema("open", {f"v{j}": "object" for j in range(i + 1)}))
-        repo.commit(name)
-    return repo.frame(spark).select("seq", "message")
-
-
 def _nation_versions(spark, d):
     """Two versions of a table: the second renames two columns, drops one and adds one."""
     repo, df = Repository(), table(spark, d, "nation")
@@ -953,4 +912,6 @@ def constraint_checks(spark, d):
     return relational.coverage(df, languages.checks(s, "root"))
 
 
+from . import catalog_schemas  # noqa: E402, F401  (it registers its queries here)
+
 __all__ = ["FLAGSHIP", "QUERIES", "SQL", "json"]
