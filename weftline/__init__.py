@@ -1 +1,26 @@
 """Weftline: data through its schema, as Spark plans."""
+
+from .functions import compile_expr, evaluate, failure, parse, predicate, pretty
+from .operators.edit_lens import EditLens
+from .operators.edits import apply_table_edits, apply_tree_edits
+from .operators.graph import Graph
+from .operators.lens import Complement, SymmetricLens, TreeLens
+from .operators.merge import three_way_merge
+from .operators.query import InstanceQuery, execute
+from .operators.transforms import select
+from .operators.tree import Tree, restrict, validate
+from .plans.compare import classify, compatible, diff
+from .plans.lens_text import Lens, LensGraph, auto_steps, compile_document
+from .plans.migration import Compiled, Migration, MigrationBuilder, compile_migration
+from .plans.protolens import Chain, Rewrite, from_diff
+from .schema import Edge, HyperEdge, Protocol, Schema, SchemaBuilder
+from .sources.registry import Registry
+from .streaming.edits import EditedTable
+from .theory import Theory
+from .versioning import Repository
+
+__all__ = [
+    "Chain", "Compiled", "Complement", "Edge", "EditLens", "EditedTable", "Graph", "HyperEdge", "InstanceQuery", "Lens", "LensGraph", "Migration", "MigrationBuilder", "Protocol", "Registry",
+    "Repository", "Rewrite", "Schema", "SchemaBuilder", "SymmetricLens", "Theory", "Tree", "TreeLens", "apply_table_edits", "apply_tree_edits", "auto_steps", "classify", "compatible",
+    "compile_document", "compile_expr", "compile_migration", "diff", "evaluate", "execute", "failure", "from_diff", "parse", "predicate", "pretty", "restrict", "select", "three_way_merge", "validate",
+]

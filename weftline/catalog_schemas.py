@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .catalog import _LINES, _NODES, BLOCK, BOUGHT, CONTRACT, ORDER_LENS, ORDER_TREE, _checkpoints, _log, _turns, expressions, order_tree, query_of, table
-from .functions import compile_expr, env_of, parse
+from .functions import compile_expr, env_of, failure, parse
 from .functions.fallback import interpreted
 from .functions.syntax import pretty
 from .operators import edits, lens, relational, transforms, tree
@@ -250,6 +250,14 @@ def fn_printed(spark, d):
     return expressions(table(spark, d, "orders"), ["o_orderkey"], **{n: pretty(parse(t)) for n, t in texts.items()})
 
 
+@query_of("fn_failures", """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN p_size = 0 OR p_size * 400 > 10000 AND p_size % 7 = 0 THEN 'NoValue' WHEN p_size * 400 > 10000 THEN 'ListLimitExceeded' END AS reason FROM part) GROUP BY reason""")
+def fn_failures(spark, d):
+    """Lists beyond the limit are told apart from what has no value at all."""
+    p = table(spark, d, "part")
+    e = parse("length (map [1 .. p_size * 400] (\\x -> x)) / (if p_size * 400 > 10000 && p_size % 7 == 0 then 0 else p_size)")
+    return p.select(failure(e, env_of(p.schema)).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query_of("fn_values", "SELECT n_nationkey, n_name || '|' || n_name AS joined, 2::BIGINT AS n FROM nation")
 def fn_values(spark, d):
     return expressions(table(spark, d, "nation"), ["n_nationkey"], joined='join (values {a = n_name, b = n_name}) "|"', n="length (values {a = n_name, b = n_name})")

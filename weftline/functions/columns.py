@@ -157,7 +157,8 @@ def _same(a: Typed, b: Typed) -> Column:
 
 
 class Compiler:
-    def __init__(self, graph: Callable | None = None):
+    def __init__(self, graph: Callable | None = None, most: int = LIST):
+        self.most = most
         self.graph = graph
 
     def run(self, e, env: dict):
@@ -237,7 +238,7 @@ class Compiler:
         t = parts[0].type
         for p in parts[1:]:
             t = unify(t, p.type)
-        return Typed(F.array(*[_as(p, t) for p in parts]), ("list", t), self.all_ok(parts) if len(parts) <= LIST else F.lit(False))
+        return Typed(F.array(*[_as(p, t) for p in parts]), ("list", t), self.all_ok(parts) if len(parts) <= self.most else F.lit(False))
 
     def match(self, e, env) -> Typed:
         v = self.value(e[1], env)
@@ -318,11 +319,11 @@ class Compiler:
             return Typed(F.filter(xs.value, lambda x: self.call(f, self.element(xs, x)).value), xs.type, ok & bools)
         got = F.transform(xs.value, lambda x: self.call(f, self.element(xs, x)).value)
         if name == "map":
-            return Typed(got, ("list", probe.type), ok & (F.size(xs.value) <= LIST))
+            return Typed(got, ("list", probe.type), ok & (F.size(xs.value) <= self.most))
         if not isinstance(probe.type, tuple) or probe.type[0] != "list":
             return Typed(F.array(), ("list", "null"), ok & (F.size(xs.value) == 0))
         flat = F.flatten(got)
-        return Typed(flat, probe.type, F.coalesce(ok & F.forall(got, lambda x: x.isNotNull()) & (F.size(flat) <= LIST), F.lit(False)))
+        return Typed(flat, probe.type, F.coalesce(ok & F.forall(got, lambda x: x.isNotNull()) & (F.size(flat) <= self.most), F.lit(False)))
 
     def fold(self, xs: Typed, init, f: Function) -> Typed:
         if isinstance(init, Function):
@@ -523,7 +524,7 @@ class Compiler:
         if a.type != "int" or b.type != "int":
             return _fail()
         n = F.try_subtract(b.value, a.value)
-        fine = F.coalesce(n < LIST, F.lit(False))
+        fine = F.coalesce(n < self.most, F.lit(False))
         hi = F.when(fine & (n >= 0), b.value).otherwise(a.value)
         return _result(F.when(n < 0, F.array().cast("array<bigint>")).otherwise(F.sequence(a.value, hi)), ("list", "int"), _of(a, b) & fine)
 
@@ -606,12 +607,18 @@ class Compiler:
         return Typed(v.value.isNotNull() if self.is_list(v) else F.lit(False), "bool", v.ok)
 
 
-def compile_expr(e, env: dict[str, Typed], graph: Callable | None = None) -> Typed:
-    """The pair of columns of a tree, in an environment of typed columns."""
-    out = Compiler(graph).value(e, env)
+def compile_expr(e, env: dict[str, Typed], graph: Callable | None = None, most: int = LIST) -> Typed:
+    """The pair of columns of a tree, in an environment of typed columns. A list that is made longer than ``most`` has no value (``failure`` tells)."""
+    out = Compiler(graph, most).value(e, env)
     return Typed(out.value, out.type, F.coalesce(out.ok, F.lit(False)))
 
 
+def failure(e, env: dict[str, Typed], graph: Callable | None = None, most: int = LIST, beyond: int = 100 * LIST) -> Column:
+    """Why a tree has no value: ``ListLimitExceeded`` if one would be there with lists of up to ``beyond`` elements, else ``NoValue``; null where it has a value."""
+    ok = compile_expr(e, env, graph, most).ok
+    return F.when(ok, F.lit(None).cast("string")).when(compile_expr(e, env, graph, beyond).ok, "ListLimitExceeded").otherwise("NoValue")
+
+
 def predicate(e, env: dict[str, Typed], otherwise: bool = False, graph: Callable | None = None) -> Column:
     """A condition: the expression's truth, and ``otherwise`` where it has no value or is no bool."""
     t = compile_expr(e, env, graph)

@@ -292,7 +292,7 @@ def product(tree: Tree, src: Schema, m: Compiled, max_size: int = 1_000_000) ->
     """As ``extend``, but refused where the sizes of a fiber's anchors multiply beyond the limit."""
     from .relational import ProductSizeExceeded
 
-    counts = {r.anchor: r["count"] for r in tree.nodes.groupBy("anchor").count().collect()}  # a row per vertex
+    counts = {r.anchor: r["count"] for r in tree.nodes.where(F.col("anchor").isin(sorted(src.vertices))).groupBy("anchor").count().collect()}  # a row for a vertex of the schema
     for v in sorted(m.survivors):
         n = 1
         for a, b in m.vertex_map.items():
