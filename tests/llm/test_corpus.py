@@ -215,6 +215,17 @@ def test_mixing_odd(spark, odd_rows, clashing, none):
     assert op7_mixing.mixed_documents(none).count() == 0
 
 
+def test_mixing_by_a_token_column(spark, odd):
+    """Shares follow the counts that are given, not words."""
+    docs = skewed(spark, odd)
+    counted = docs.selectExpr("*", "case when source = 's0' then 1000 else length(text) end as `n.t`")
+    rows = op7_mixing.mix(counted, tokens="n.t").collect()
+    want = {r.doc_id: r["n.t"] for r in counted.collect()}
+    assert all(r.n_tokens == want[r.doc_id] for r in rows)
+    assert max((r for r in rows), key=lambda r: r.weight).source == max(((s, sum(r["n.t"] for r in counted.collect() if r.source == s)) for s in {r.source for r in rows}), key=lambda x: x[1])[0]
+    assert op7_mixing.mixed_documents(counted, tokens="n.t").columns == counted.columns
+
+
 def test_mixing_plan_has_no_python(spark, sf_dir):
     plan = registry.QUERIES["op7_mixing"](spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

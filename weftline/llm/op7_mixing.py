@@ -157,15 +157,15 @@ def passes(rows: DataFrame, sources: DataFrame, blocks: int = BLOCKS) -> DataFra
     return times.select("row", "key", "block", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))
 
 
-def narrow_rows(docs: DataFrame) -> DataFrame:
-    """key, source, doc_id, doc_hash, n_tokens (words) of ``docs``."""
-    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+def narrow_rows(docs: DataFrame, tokens: str | None = None) -> DataFrame:
+    """key, source, doc_id, doc_hash, n_tokens of ``docs``: the column ``tokens``, where one is named (token counts, say; null is 0), else words."""
+    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)) if tokens is None else F.col(f"`{tokens}`"), F.lit(0)).cast("long")
     return docs.select("doc_id", "source", _key().alias("key"), _doc_hash().alias("doc_hash"), words.alias("n_tokens"))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, tokens: str | None = None, **how) -> DataFrame:
     """doc_id, source, n_tokens, epoch, block, weight, repeats, position: the mixture's rows."""
-    narrow = written(narrow_rows(docs), "narrow")
+    narrow = written(narrow_rows(docs, tokens), "narrow")
     sources, places = schedule(narrow, **how)
     found = passes(narrow, sources).select("row.doc_id", "row.source", "row.n_tokens", "key", "block", "epoch")
     found = found.join(places, ["key", "block", "epoch"]).join(sources.select("key", "weight", "repeats"), "key")
@@ -173,9 +173,9 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     return found.select("doc_id", "source", "n_tokens", "epoch", "block", F.round("weight", 6).alias("weight"), F.round("repeats", 6).alias("repeats"), position.alias("position"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, tokens: str | None = None, **how) -> DataFrame:
     """The rows of ``docs``, once for each pass of the mixture that has them."""
-    sources, _ = schedule(written(narrow_rows(docs), "narrow"), **how)
+    sources, _ = schedule(written(narrow_rows(docs, tokens), "narrow"), **how)
     return passes(docs, sources).select("row.*")
 
 
