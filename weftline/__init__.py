@@ -1,26 +1,40 @@
-"""Weftline: data through its schema, as Spark plans."""
+"""Weftline: data through its schema, as Spark plans.
 
-from .functions import compile_expr, evaluate, failure, parse, predicate, pretty
-from .operators.edit_lens import EditLens
-from .operators.edits import apply_table_edits, apply_tree_edits
-from .operators.graph import Graph
-from .operators.lens import Complement, SymmetricLens, TreeLens
-from .operators.merge import three_way_merge
-from .operators.query import InstanceQuery, execute
-from .operators.transforms import select
-from .operators.tree import Tree, restrict, validate
-from .plans.compare import classify, compatible, diff
-from .plans.lens_text import Lens, LensGraph, auto_steps, compile_document
-from .plans.migration import Compiled, Migration, MigrationBuilder, compile_migration
-from .plans.protolens import Chain, Rewrite, from_diff
-from .schema import Edge, HyperEdge, Protocol, Schema, SchemaBuilder
-from .sources.registry import Registry
-from .streaming.edits import EditedTable
-from .theory import Theory
-from .versioning import Repository
+The public names are loaded when they are first used, so that a Python worker imports only what its function needs.
+"""
 
-__all__ = [
-    "Chain", "Compiled", "Complement", "Edge", "EditLens", "EditedTable", "Graph", "HyperEdge", "InstanceQuery", "Lens", "LensGraph", "Migration", "MigrationBuilder", "Protocol", "Registry",
-    "Repository", "Rewrite", "Schema", "SchemaBuilder", "SymmetricLens", "Theory", "Tree", "TreeLens", "apply_table_edits", "apply_tree_edits", "auto_steps", "classify", "compatible",
-    "compile_document", "compile_expr", "compile_migration", "diff", "evaluate", "execute", "failure", "from_diff", "parse", "predicate", "pretty", "restrict", "select", "three_way_merge", "validate",
-]
+from importlib import import_module
+
+#: Public names by module.
+_NAMES = {
+    "functions": ("compile_expr", "evaluate", "failure", "parse", "predicate", "pretty"),
+    "operators.edit_lens": ("EditLens",),
+    "operators.edits": ("apply_table_edits", "apply_tree_edits"),
+    "operators.graph": ("Graph",),
+    "operators.lens": ("Complement", "SymmetricLens", "TreeLens"),
+    "operators.merge": ("three_way_merge",),
+    "operators.query": ("InstanceQuery", "execute"),
+    "operators.transforms": ("select",),
+    "operators.tree": ("Tree", "restrict", "validate"),
+    "plans.compare": ("classify", "compatible", "diff"),
+    "plans.lens_text": ("Lens", "LensGraph", "auto_steps", "compile_document"),
+    "plans.migration": ("Compiled", "Migration", "MigrationBuilder", "compile_migration"),
+    "plans.protolens": ("Chain", "Rewrite", "from_diff"),
+    "schema": ("Edge", "HyperEdge", "Protocol", "Schema", "SchemaBuilder"),
+    "sources.registry": ("Registry",),
+    "streaming.edits": ("EditedTable",),
+    "theory": ("Theory",),
+    "versioning": ("Repository",),
+}
+_WHERE = {n: m for m, names in _NAMES.items() for n in names}
+__all__ = sorted(_WHERE)
+
+
+def __getattr__(name: str):
+    if name not in _WHERE:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f"{__name__}.{_WHERE[name]}"), name)
+
+
+def __dir__() -> list[str]:
+    return sorted([*globals(), *__all__])
