@@ -217,9 +217,13 @@ def check_model(t: Theory, carriers: dict[str, list], ops: dict, limit: int = 10
     return out
 
 
-def check_equation(carrier: DataFrame, variable_columns: dict[str, str], left, right, limit: int = 100) -> DataFrame:
-    """Rows of a carrier table on which the two sides (columns) of a one-row equation differ."""
-    return carrier.where(~left.eqNullSafe(right)).select(*[F.col(c).alias(v) for v, c in variable_columns.items()]).limit(limit)
+def check_equation(carrier: DataFrame, variable_columns: dict[str, str], left, right, limit: int | None = 100) -> DataFrame:
+    """Rows of a carrier table on which the two sides (columns) of a one-row equation differ: so many, or all of them if ``limit`` is None.
+
+    A limit's rows all pass through one task; without one they stay where they are.
+    """
+    bad = carrier.where(~left.eqNullSafe(right)).select(*[F.col(c).alias(v) for v, c in variable_columns.items()])
+    return bad if limit is None else bad.limit(limit)
 
 
 def free_model(t: Theory, depth: int = 3, most: int = 10_000) -> dict[str, list]:
