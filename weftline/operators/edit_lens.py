@@ -28,11 +28,13 @@ from .tree import KEY, Restricted, Tree, _pairs, restrict
 
 @dataclass(frozen=True)
 class Carried:
-    """The other side's log, what was absorbed, and what failed (the edit's columns and a reason)."""
+    """The other side's log, what was absorbed, and what failed (the edit's columns and a reason). ``judged`` is the other side's log with a reason beside each edit
+    ("absorbed", an error, or null): a plan that carries every edit once, for those who want both."""
 
     log: DataFrame
     absorbed: DataFrame
     errors: DataFrame
+    judged: DataFrame
 
 
 def renames(transforms) -> tuple[dict[str, str | None], set[str], set[str] | None, dict[str, list[tuple[str, str]]]]:
@@ -125,8 +127,9 @@ class EditLens:
         """``j`` has the new columns as _n_<column>, and ``_reason``: null, "absorbed" or an error."""
         stays = F.col("_reason").isNull()
         out = [F.when(stays, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if f"_n_{c}" in j.columns else F.col(c) for c in columns]
-        log = j.select(*[F.when(stays, F.col("op")).otherwise("identity").alias("op") if c == "op" and "_n_op" not in j.columns else F.when(stays, F.col("_n_op")).otherwise("identity").alias("op") if c == "op" else x for c, x in zip(columns, out, strict=True)])
-        return Carried(log, j.where("_reason = 'absorbed'").select(*columns), j.where("_reason is not null and _reason <> 'absorbed'").select(*columns, F.col("_reason").alias("reason")))
+        judged = j.select(*[F.when(stays, F.col("op")).otherwise("identity").alias("op") if c == "op" and "_n_op" not in j.columns else F.when(stays, F.col("_n_op")).otherwise("identity").alias("op") if c == "op" else x for c, x in zip(columns, out, strict=True)], F.col("_reason").alias("reason"))
+        failed = j.where("_reason is not null and _reason <> 'absorbed'").select(*columns, F.col("_reason").alias("reason"))
+        return Carried(judged.drop("reason"), j.where("_reason = 'absorbed'").select(*columns), failed, judged)
 
     def get_edits(self, source: Tree, log: DataFrame, restricted: Restricted | None = None) -> Carried:
         """The view's edits for the source's ``log``."""
