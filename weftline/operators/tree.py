@@ -19,7 +19,7 @@ from ..functions import Typed, predicate
 from ..functions.syntax import free_names
 from ..plans.migration import Compiled
 from ..schema import Schema
-from ..storage import shared_dir
+from ..storage import shared_dir, written
 from .transforms import apply, environment, of_columns, tree_of
 
 KEY = ["record_id", "node_id"]
@@ -98,6 +98,26 @@ def nearest_alive(marked: DataFrame, arcs: DataFrame, rounds: int | None) -> Dat
     return up.select("record_id", "child", "pos", F.when(F.col("alive"), F.col("parent")).alias("anc"))
 
 
+def ancestors(marked: DataFrame, hung: DataFrame, run: int) -> DataFrame:
+    """record_id, parent, anc, to_parent: for every living node itself, and for a dead one its nearest living ancestor, if there is one.
+
+    Only dead nodes climb; ``hung`` has them with their parents (record_id, node_id, parent). Up to ``run`` of them follow each other.
+    """
+    at = [F.col("record_id"), F.col("node_id").alias("parent"), F.col("node_id").alias("anc"), F.col("to").alias("to_parent")]
+    own = marked.where("alive").select(*at)
+    if not run:
+        return own
+    state = marked.select("record_id", F.col("node_id").alias("anc"), F.col("to").alias("to_parent"), "alive")
+    up = hung.where("parent is not null").select(*KEY, F.col("parent").alias("anc")).join(state, ["record_id", "anc"]).select("record_id", F.col("node_id").alias("parent"), "anc", "to_parent", "alive")
+    reach = 1
+    while reach < run:
+        above = up.select("record_id", F.col("parent").alias("anc"), F.col("anc").alias("_anc"), F.col("to_parent").alias("_to"), F.col("alive").alias("_alive"))
+        j, stays = up.join(above, ["record_id", "anc"], "left"), F.col("alive")
+        up = j.select("record_id", "parent", F.when(stays, F.col("anc")).otherwise(F.col("_anc")).alias("anc"), F.when(stays, F.col("to_parent")).otherwise(F.col("_to")).alias("to_parent"), F.when(stays, True).otherwise(F.coalesce("_alive", F.lit(False))).alias("alive"))
+        reach *= 2
+    return own.unionByName(up.where("alive").drop("alive"))
+
+
 def dead_run(src: Schema, m: Compiled) -> int | None:
     """How many vertices that may die can follow each other on a path; None if a cycle has one."""
     mortal = {v for v in src.vertices if not m.survives(v) or v in m.survival}
@@ -209,10 +229,16 @@ def restrict(tree: Tree, src: Schema, m: Compiled, valid: bool = False) -> Restr
     spark = tree.nodes.sparkSession
     marked = survival(tree.nodes, m, sorted(src.vertices))
     near = nearest_alive(marked, tree.arcs, run)
-    kept = marked.where("alive")
+    kept, dying = marked.where("alive"), marked.where(~F.col("alive"))
+    hung = None
+    if m.survival or any(not m.survives(v) for v in src.vertices) or not dying.isEmpty():
+        hung = written(dying.select(*KEY).join(tree.arcs.select("record_id", F.col("child").alias("node_id"), "parent"), KEY, "left"), "dying")
     places = kept.select("record_id", F.col("node_id").alias("child"), F.col("to").alias("to_child"))
-    parents = kept.select("record_id", F.col("node_id").alias("anc"), F.col("to").alias("to_parent"))
-    joined = near.join(places, ["record_id", "child"]).join(parents, ["record_id", "anc"], "left")
+    if run is None:
+        parents = kept.select("record_id", F.col("node_id").alias("anc"), F.col("to").alias("to_parent"))
+        joined = near.join(places, ["record_id", "child"]).join(parents, ["record_id", "anc"])
+    else:
+        joined = tree.arcs.select("record_id", "parent", "child", "pos").join(places, ["record_id", "child"]).join(ancestors(marked, hung, run if hung is not None else 0), ["record_id", "parent"])
     known = []
     for a, b in sorted({(e.src, e.tgt) for e in m.edges} | set(m.resolver)):
         e = m.edge_between(a, b)
@@ -221,14 +247,16 @@ def restrict(tree: Tree, src: Schema, m: Compiled, valid: bool = False) -> Restr
         elif e == "AmbiguousEdge":
             known.append((a, b, None, None, e))
     table = _pairs(spark, known, "to_parent string, to_child string, kind string, name string, _why string")
-    edged = joined.join(table, ["to_parent", "to_child"], "left")
-    lost = tree.roots().select(*KEY).join(marked.where(~F.col("alive")), KEY, "left_semi").select("record_id", F.lit("RootPruned").alias("reason"))
-    unresolved = edged.where("anc is not null and kind is null").select("record_id", F.coalesce("_why", F.lit("NoEdgeFound")).alias("reason"))
-    errors = lost.unionByName(unresolved).distinct()
+    # Written once: the errors and the arcs are both read off it, and then what failed, mostly little, has a size that plans know.
+    edged = written(joined.join(table, ["to_parent", "to_child"], "left").select("record_id", F.col("anc").alias("parent"), "child", "pos", "kind", "name", "_why"), "edged")
+    errors = edged.where("kind is null").select("record_id", F.coalesce("_why", F.lit("NoEdgeFound")).alias("reason"))
+    if hung is not None:
+        errors = errors.unionByName(hung.where("parent is null").select("record_id", F.lit("RootPruned").alias("reason")))
+    errors = written(errors.distinct(), "errors")
     bad = errors.select("record_id").distinct()
-    fields_out = transformed(kept, m)
-    nodes = fields_out.join(bad, "record_id", "left_anti")
-    arcs = edged.where("anc is not null and kind is not null").select("record_id", F.col("anc").alias("parent"), "child", "pos", "kind", "name").join(bad, "record_id", "left_anti")
+    fine = (lambda df: df) if errors.isEmpty() else (lambda df: df.join(bad, "record_id", "left_anti"))
+    nodes = fine(transformed(kept, m))
+    arcs = fine(edged.where("kind is not null").drop("_why"))
     dead = marked.where(~F.col("alive"))
     into = near.select("record_id", F.col("child").alias("node_id"), F.col("anc").alias("contracted_into"))
     dropped = dead.join(into, KEY, "left").drop("to", "alive")
