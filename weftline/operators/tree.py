@@ -150,7 +150,7 @@ def climbed(arcs: DataFrame, dead: list[str], run: int) -> DataFrame:
     needs = F.col("_src").isin(dead)
 
     def jump(near: DataFrame, steps: DataFrame) -> DataFrame:
-        above = steps.select("record_id", F.col("child").alias("parent"), F.col("parent").alias("_p"), F.col("_src").alias("_s"))
+        above = steps.where(F.col("_tgt").isin(dead)).select("record_id", F.col("child").alias("parent"), F.col("parent").alias("_p"), F.col("_src").alias("_s"))
         up = near.where(needs).join(above, ["record_id", "parent"], "left").select("record_id", F.col("_p").alias("parent"), "child", "pos", F.col("_s").alias("_src"), "_tgt")
         return near.where(~needs | F.col("_src").isNull()).unionByName(up)
 
@@ -210,7 +210,7 @@ def restrict_valid(tree: Tree, src: Schema, m: Compiled, run: int, labels: dict)
         bad = errors.select("record_id").distinct()
         nodes, out = nodes.join(bad, "record_id", "left_anti"), out.join(bad, "record_id", "left_anti")
     gone = tree.nodes.where(F.col("anchor").isin(dead))
-    dropped = gone.join(near.select("record_id", F.col("child").alias("node_id"), F.when(F.col("_src").isNotNull(), F.col("parent")).alias("contracted_into")), KEY, "left")
+    dropped = gone.join(near.where(F.col("_tgt").isin(dead)).select("record_id", F.col("child").alias("node_id"), F.when(F.col("_src").isNotNull(), F.col("parent")).alias("contracted_into")), KEY, "left")
     lost = [(k, n) for (k, n), e in labels.items() if e.src in dead or e.tgt in dead]
     hit = _pairs(spark, lost or [("", "")], "kind string, name string")
     touched = tree.arcs.join(hit, [tree.arcs[c].eqNullSafe(hit[c]) for c in ("kind", "name")], "left_semi")
@@ -414,7 +414,7 @@ def expand(view: Tree, record: DataFrame, arcs: DataFrame, which: DataFrame) ->
 
     ``record`` is what ``contractions`` gave and ``arcs`` are the source's.
     """
-    back = record.join(which.select(*KEY).distinct(), KEY, "left_semi")
+    back = written(record.join(which.select(*KEY).distinct(), KEY, "left_semi"), "back")  # read as nodes, as arcs and as ids
     ids = back.select("record_id", F.col("node_id").alias("_back"))
     nodes = view.nodes.unionByName(back.select(*[c for c in view.nodes.columns if c in back.columns]), allowMissingColumns=True)
     there = ids.select("record_id", F.col("_back").alias("original_parent"), F.lit(True).alias("_up"))
